@@ -1,0 +1,21 @@
+"""Word hashing that the executors' Python workers share."""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+
+def hash_words(words: list, seed: int = 0) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.array([h(w, seed) for w in words], dtype=np.uint64)
+
+
+def mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
+    """Order-sensitive combination of two arrays of 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(odd) + b
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x

@@ -1,0 +1,79 @@
+import re
+
+import xxhash
+from pyspark.sql import functions as F
+
+from statuta.llm import simhash
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) if hashes else 0
+
+
+def brute_components(fps):
+    ids = sorted(fps)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if j > i and bin(fps[i] ^ fps[j]).count("1") <= 4:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_fingerprints_match_brute_force():
+    for text in [None, "", " \n", "One", "a b c", "A b C d", "É a b c d e É A", "x y z w " * 50, "To be, or not to be: that is the question."]:
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+    long = " ".join(f"w{i * i % 977}" for i in range(70000))
+    assert simhash.fingerprint(long) == brute_fingerprint(long)
+
+
+def test_links_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    fps, centre = {}, rng.getrandbits(64)
+    for i in range(400):
+        if i % 4 == 0:
+            fps[i] = rng.getrandbits(64)
+        elif i % 4 == 1:
+            fps[i] = centre ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4)))
+        else:
+            fps[i] = fps[rng.randrange(i)] ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 7))})
+    fps = {i: f & (2**64 - 1) for i, f in fps.items()}
+    distinct = spark.createDataFrame([(simhash._signed(f),) for f in set(fps.values())], "fp long")
+    found = {r.fp & (2**64 - 1): r.component for r in simhash.link_fingerprints(distinct).collect()}
+    want = brute_components(fps)
+    groups, got = {}, {}
+    for i, f in fps.items():
+        groups.setdefault(want[i], set()).add(i)
+        got.setdefault(found.get(f, simhash._signed(f)), set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
+
+
+def test_cases(spark):
+    rows = [(3, None), (5, ""), (9, " \t "), (7, "one two three four five six"), (7, "one two three four five six"), (2, "ONE two three four five six"), (None, "zeta eta theta iota kappa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("component", F.lit(1))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (9, 3), (7, 2), (7, 2), (2, 2), (None, None)], key=str)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_query_matches_brute_force(spark):
+    from statuta.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    want = brute_components(fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op5_simhash"](spark, sf).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
