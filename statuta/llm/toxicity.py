@@ -18,9 +18,9 @@ BITS = 20
 SIZE = 1 << BITS
 CACHE = 250_000
 #: Labelled rows that a fit reads at most; the smallest hashes of their ids are taken.
-FIT_ROWS = 12_000
+FIT_ROWS = 8000
 #: A feature is kept if its log-likelihood ratio is this large and it is this many times as frequent in toxic rows.
-LEAST_RATIO, LEAST_LIFT = 18.0, 3.0
+LEAST_RATIO, LEAST_LIFT = 25.0, 3.0
 FOLDS = 4
 #: The categories in chain order. The label says toxic or not; severe is graded from it (see grade()).
 CATEGORIES = ("toxic", "severe")
