@@ -41,13 +41,15 @@ def _word(w: str) -> tuple[int, ...]:
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct hashed features of all words, lower-cased; 0 is the constant."""
+    """The distinct hashed features of all words, lower-cased, and one more for each that two different words share; 0 is the constant."""
     words = set(text.lower().split())
-    at = {0}
+    found: list[int] = []
     for w in words:
-        found = _SEEN.get(w)
-        at.update(_word(w) if found is None else found)
-    return np.fromiter(at, np.int64, len(at))
+        own = _SEEN.get(w)
+        found += _word(w) if own is None else own
+    at, counts = np.unique(np.array(found, np.int64), return_counts=True)
+    twice = (at[counts > 1] * 40503 + 1_000_003) % (SIZE - 1) + 1
+    return np.concatenate([[0], np.union1d(at, twice)])
 
 
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def fit(labelled: DataFrame, label: str = "toxic") -> Chain:
     return fit_chain(rows, [labels, grade(rows, labels)])
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, then p_toxic, p_severe and rejected (a probability reaches the threshold).
 
     Null text scores as empty. Rows that repeat an id are scored each. Added
@@ -175,6 +177,6 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.3, id_col: str = "
     return scored.withColumn("rejected", F.greatest(*added) >= threshold)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
     """score() by a chain that is fitted on at most `rows` labelled rows of docs."""
     return score(docs, fit(sample(labels, docs, "toxic", rows)), threshold)
