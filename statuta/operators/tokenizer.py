@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from statuta.functions.constants import ABBREVIATIONS, CLOSING, EXCEPTIONS, PATTERNS, SENTENCE_END
 
 _BLANK = " \t\n\x0b\f\r"
+_TRIMMED = "".join(map(chr, range(33)))
 _SPACES = regex.compile(f"[{_BLANK}]+")
 _COMPILED = {name: regex.compile(p) for name, p in PATTERNS.items()}
 _END = regex.compile(SENTENCE_END)
@@ -72,10 +74,10 @@ def _parts(token: str) -> list[str] | None:
     return [p for p in (token[: span[0]], token[slice(*span)], token[span[1] :]) if p]
 
 
-def tokenize(text: str | None) -> list[str]:
-    """Tokens of a text; null and blank texts have none."""
-    waiting = [t for t in reversed(_SPACES.split((text or "").strip("".join(map(chr, range(33)))))) if t]
-    out = []
+@lru_cache(maxsize=100_000)
+def _tokens_of(chunk: str) -> tuple[str, ...]:
+    """Tokens of a run without white space; runs recur, so they are kept."""
+    waiting, out = [chunk], []
     while waiting:
         token = waiting.pop()
         parts = _parts(token)
@@ -83,6 +85,17 @@ def tokenize(text: str | None) -> list[str]:
             out.append(token)
         else:
             waiting += [p for q in reversed(parts) for p in reversed(_SPACES.split(q)) if p]
+    return tuple(out)
+
+
+def tokenize(text: str | None) -> list[str]:
+    """Tokens of a text; null and blank texts have none."""
+    out: list[str] = []
+    for chunk in _SPACES.split((text or "").strip(_TRIMMED)):
+        if chunk.isalpha():
+            out.append(chunk)
+        elif chunk:
+            out += _tokens_of(chunk)
     return out
 
 
