@@ -64,4 +64,6 @@ COORDINATORS = ("và", "hoặc", ",", ";")
 VERB_LABELS = ("nmod", "x", "conj", "prd", "tpc", "dep")
 KEPT_POS = ("N", "V", "A", "E", "M")
 AUXILIARIES = ("được", "bị", "đang", "đã", "sẽ")
+DETERMINERS = ("các", "những", "một", "mỗi", "toàn_bộ", "tất_cả", "cả")
+NO_OBJECTS = ("sau", "như", "như sau", "ví dụ", "v.v", "v.v.")
 DUTY_NOUNS = ("trách nhiệm", "nhiệm vụ", "quyền", "bổn phận", "nghĩa vụ")

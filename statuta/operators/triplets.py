@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.functions.constants import COORDINATORS, DROPPED_POS, KEPT_POS, VERB_LABELS
+from statuta.functions.constants import AUXILIARIES, COORDINATORS, DETERMINERS, DROPPED_POS, DUTY_NOUNS, KEPT_POS, NO_OBJECTS, VERB_LABELS
 
 TOKEN = "id INT, word STRING, pos STRING, head INT, deprel STRING"
 TRIPLETS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("c1", "r", "c2")]))
@@ -18,30 +18,39 @@ TRIPLETS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in (
 
 @dataclass
 class Frame:
-    """What has been gathered for the next triplets: groups of words in three roles; coordination opens another group."""
+    """What has been gathered for the next triplets: groups of tokens in three roles; coordination opens another group."""
 
-    subjects: list[list[str]] = field(default_factory=list)
-    relations: list[list[str]] = field(default_factory=list)
-    objects: list[list[str]] = field(default_factory=list)
+    subjects: list[list[dict]] = field(default_factory=list)
+    relations: list[list[dict]] = field(default_factory=list)
+    objects: list[list[dict]] = field(default_factory=list)
     found: dict[tuple, None] = field(default_factory=dict)
 
-    def add(self, role: str, word: str, fork: bool) -> None:
+    def add(self, role: str, token: dict, fork: bool = False) -> None:
         groups = getattr(self, role)
         if fork or not groups:
             groups.append([])
-        groups[-1].append(word)
+        groups[-1].append(token)
+
+    def add_relation(self, token: dict, fork: bool = False) -> None:
+        """A relation behind objects closes the triplets so far."""
+        if self.objects:
+            self.emit()
+            self.subjects, self.relations, self.objects = self.objects, [], []
+        self.add("relations", token, fork)
+
+    def add_concept(self, token: dict, fork: bool = False) -> None:
+        self.add("objects" if self.relations else "subjects", token, fork)
 
     def emit(self) -> None:
         for groups in product(self.subjects, self.relations, self.objects):
-            self.found[tuple(" ".join(g) for g in groups)] = None
+            self.found[tuple(" ".join(t["word"] for t in g) for g in groups)] = None
 
-    def shift(self) -> None:
-        """The objects become the next subjects."""
+    def result(self) -> list[tuple]:
         self.emit()
-        self.subjects, self.relations, self.objects = self.objects, [], []
+        return list(self.found)
 
 
-def _nominal(tokens: list[dict], at: dict[int, dict], token: dict) -> bool:
+def _nominal(at: dict[int, dict], token: dict) -> bool:
     around = (at.get(token["id"] - 1), at.get(token["id"] + 1))
     return all(t is not None and t["pos"].startswith("N") for t in around)
 
@@ -62,17 +71,10 @@ def by_dependency(tokens: list[dict], dropped: tuple = DROPPED_POS, coordinators
             continue
         verb = t["pos"].startswith("V")
         goes_on = verb and t["deprel"] == "vmod" and bool(frame.relations)
-        named = verb and t["deprel"] in VERB_LABELS and (t["deprel"] != "nmod" or _nominal(tokens, at, t))
-        if root or goes_on or named:
-            if frame.objects:
-                frame.shift()
-            role = "relations"
-        else:
-            role = "objects" if frame.relations else "subjects"
-        frame.add(role, t["word"], fork)
+        named = verb and t["deprel"] in VERB_LABELS and (t["deprel"] != "nmod" or _nominal(at, t))
+        (frame.add_relation if root or goes_on or named else frame.add_concept)(t, fork)
         fork = False
-    frame.emit()
-    return list(frame.found)
+    return frame.result()
 
 
 def without_semicolon(tokens: list[dict]) -> list[tuple] | None:
@@ -81,20 +83,87 @@ def without_semicolon(tokens: list[dict]) -> list[tuple] | None:
 
 
 def by_pos(tokens: list[dict]) -> list[tuple]:
-    """By part of speech alone: every verb is a relation, other kept words are concepts; without coordination."""
+    """By part of speech alone: every verb is a relation, other kept words are concepts; no coordination. Incomplete triplets are left out here and below."""
     frame = Frame()
     for t in sorted(tokens, key=lambda t: t["id"]):
-        if not t["pos"].startswith(KEPT_POS):
-            continue
-        verb = t["pos"].startswith("V")
-        if verb and frame.objects:
-            frame.shift()
-        frame.add("relations" if verb else "objects" if frame.relations else "subjects", t["word"], False)
-    frame.emit()
-    return list(frame.found)
+        if t["pos"].startswith(KEPT_POS):
+            word = t | {"word": t["word"].replace("_", " ")}
+            (frame.add_relation if t["pos"].startswith("V") else frame.add_concept)(word)
+    return frame.result()
+
 
+def _flat_relation(at: dict[int, dict], t: dict) -> bool:
+    return t["pos"].startswith("V") and t["deprel"] in ("root", *VERB_LABELS) and (t["deprel"] != "nmod" or not _nominal(at, t))
 
-VARIANTS = {"production": by_dependency, "grouped": without_semicolon, "pos": by_pos}
+
+def flat(tokens: list[dict]) -> list[tuple]:
+    """By dependency without groups; a noun modifier is a relation unless it stands between nouns, a verb modifier never is."""
+    at, frame = {t["id"]: t for t in tokens}, Frame()
+    for i in sorted(at):
+        if not at[i]["pos"].startswith(("R", "CH")):
+            (frame.add_relation if _flat_relation(at, at[i]) else frame.add_concept)(at[i])
+    return frame.result()
+
+
+def owned_root(tokens: list[dict]) -> list[tuple]:
+    """As flat, without prepositions; the root is a relation only if a subject of its own has been seen, and verb modifiers join the relation before any object."""
+    at, frame = {t["id"]: t for t in tokens}, Frame()
+    for i in sorted(at):
+        t = at[i]
+        if t["pos"].startswith(("R", "CH", "E")):
+            continue
+        relation = _flat_relation(at, t)
+        if relation and t["deprel"] == "root":
+            relation = any(s["deprel"] == "sub" and s["head"] == i for g in frame.subjects for s in g)
+        if relation:
+            frame.add_relation(t)
+        elif t["deprel"] == "vmod" and not frame.objects:
+            frame.add("relations", t)
+        else:
+            frame.add_concept(t)
+    return frame.result()
+
+
+def _phrase(words: list[tuple[str, str]], at: int) -> list[str]:
+    """Nouns, prepositions and determiners from a place on; behind a noun of duty the verbs that follow as well."""
+    end = at
+    while end < len(words) and words[end][1].startswith(("N", "E", "L")):
+        end += 1
+    if end > at and words[end - 1][0] in DUTY_NOUNS:
+        while end < len(words) and words[end][1].startswith("V"):
+            end += 1
+    return [w for w, _ in words[at:end]]
+
+
+def noun_phrases(tokens: list[dict]) -> list[tuple]:
+    """Each verb with the nearest noun phrase before it and the next one after it; auxiliaries are part of the verb behind them."""
+    plain = [(t["word"].replace("_", " ").strip(), t["pos"].split(" ")[0]) for t in sorted(tokens, key=lambda t: t["id"])]
+    words: list[tuple[str, str]] = []
+    joined = False
+    for word, pos in plain:
+        joined = bool(words) and not joined and words[-1][0] in AUXILIARIES and pos.startswith("V")
+        if joined:
+            word = f"{words.pop()[0]} {word}"
+        words.append((word, pos))
+    found: dict[tuple, None] = {}
+    for i, (verb, pos) in enumerate(words):
+        if not pos.startswith("V"):
+            continue
+        subject: list[str] = []
+        start = next((j for j in range(i - 1, -1, -1) if words[j][1].startswith("N")), None)
+        if start is not None:
+            while start and words[start - 1][1].startswith(("N", "E")):
+                start -= 1
+            subject = ([words[start - 1][0]] if start and words[start - 1][0] in DETERMINERS else []) + _phrase(words, start)
+        stop = next((k for k in range(i + 1, len(words)) if words[k][1].startswith(("N", "CH", "V"))), None)
+        target = _phrase(words, stop) if stop is not None and words[stop][1].startswith("N") else []
+        subject_text, target_text = " ".join(subject).strip(), " ".join(target).strip()
+        if subject_text and target_text and target_text not in NO_OBJECTS:
+            found[subject_text, verb, target_text] = None
+    return list(found)
+
+
+VARIANTS = {"production": by_dependency, "grouped": without_semicolon, "pos": by_pos, "flat": flat, "owned_root": owned_root, "noun_phrases": noun_phrases}
 
 
 def extract(tokens: Column, variant: str = "production") -> Column:

@@ -101,6 +101,25 @@ def test_variants():
     assert triplets.by_pos(tokens_of("a/N/x · b/V/x · c/N/x · r/R/x · d/V/x · e/A/x")) == [("a", "b", "c"), ("c", "d", "e")]
 
 
+def test_more_variants():
+    modifier = tokens_of("xe/N/sub · chở/V/nmod · khách/N/dob · dừng/V/root · bến/N/dob")
+    assert triplets.flat(modifier) == [("xe chở khách", "dừng", "bến")]
+    assert triplets.flat(tokens_of("a/N/sub · b/V/root · c/N/dob · d/V/vmod · e/N/dob")) == [("a", "b", "c d e")]
+    owned = tokens_of("a/N/sub · ở/E/loc · b/V/root · d/V/vmod · c/N/dob")
+    owned[0]["head"] = 3
+    assert triplets.owned_root(owned) == [("a", "b d", "c")]
+    assert triplets.owned_root(tokens_of("a/N/x · b/V/root · c/N/dob")) == []
+    text = "các/L/x · cơ_quan/N/x · được/V/x · cấp/V/x · giấy_phép/N/x · ./CH/x · họ/P/x · có/V/x · trách_nhiệm/N/x · phối_hợp/V/x · giải_quyết/V/x · vụ_việc/N/x"
+    assert triplets.noun_phrases(tokens_of(text)) == [
+        ("các cơ quan", "được cấp", "giấy phép"),
+        ("giấy phép", "có", "trách nhiệm phối hợp giải quyết"),
+        ("trách nhiệm phối hợp giải quyết", "giải quyết", "vụ việc"),
+    ]
+    assert triplets.noun_phrases(tokens_of("a/N/x · ví/V/x · sau/N/x")) == []
+    for rule in triplets.VARIANTS.values():
+        assert rule([]) == []
+
+
 def test_triplets_in_spark(spark):
     rows = [(i, tokens_of(t)) for i, (t, _) in enumerate(CASES)] + [(99, None)]
     df = spark.createDataFrame(rows, f"i int, t array<struct<{triplets.TOKEN.replace(' ', ': ')}>>".replace(",: ", ", "))
