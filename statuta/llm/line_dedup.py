@@ -36,6 +36,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col
     first = F.when(F.lag("doc_id").over(in_order).eqNullSafe(F.col("doc_id")) & (F.row_number().over(in_order) > 1), 0).otherwise(1)
     slices = dealt.withColumn("first", first).groupBy("h1", "h2", "slice").agg(F.sum("first").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     shared = slices.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+    shared = materialise(shared, "shared_lines")  # a table of its own, so that AQE can split the join's hot hashes
     gone = table.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     words = gone.groupBy("doc_id", "text_key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return words.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drops"))
