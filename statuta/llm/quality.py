@@ -16,7 +16,7 @@ from statuta.llm.ftrl import Ftrl, sigmoid
 
 BITS = 18
 SIZE = 1 << BITS
-CACHE = 250_000
+CACHE = 120_000
 #: Labelled rows that a fit reads at most; the smallest hashes of their ids are taken.
 FIT_ROWS = 4000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,6 +36,11 @@ def _word(w: str) -> tuple[int, int]:
     return found
 
 
+def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that few texts are Python strings at a time."""
+    return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their values (log-scaled shares, so that a text's length does not matter much).
 
@@ -70,9 +75,9 @@ def fit(labelled: DataFrame, label: str = "quality", epochs: int = 3) -> np.ndar
     chosen = labelled.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
+        for part in (p for b in batches for p in parts(b)):
+            rows = [features(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
 
     made = chosen.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toPandas()
     made = made.sort_values(["doc_id", "label"], kind="stable")
@@ -101,9 +106,9 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
-            made = [float(sigmoid(w[at] @ value)) for at, value in map(features, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
+        for part in (p for b in batches for p in parts(b)):
+            made = [float(sigmoid(w[at] @ value)) for at, value in map(features, part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 

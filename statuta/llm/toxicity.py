@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import text_or_empty
 from statuta.llm.ftrl import Ftrl, sigmoid
-from statuta.llm.quality import sample
+from statuta.llm.quality import parts, sample
 
 BITS = 20
 SIZE = 1 << BITS
-CACHE = 250_000
+CACHE = 120_000
 #: Labelled rows that a fit reads at most; the smallest hashes of their ids are taken.
 FIT_ROWS = 8000
 #: A feature is kept if its log-likelihood ratio is this large and it is this many times as frequent in toxic rows.
@@ -121,12 +121,11 @@ def fit(labelled: DataFrame, label: str = "toxic") -> Chain:
     marked = labelled.select("doc_id", "text", F.col(label).cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for y in (0, 1):
-                rows = [features(t) for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if own == y]
-                if rows:
-                    at, n = np.unique(np.concatenate(rows), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), y, np.int32)), pa.array(n)], ["at", "label", "n"])
+        for part, y in ((p, y) for b in batches for p in parts(b) for y in (0, 1)):
+            rows = [features(t) for t, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) if own == y]
+            if rows:
+                at, n = np.unique(np.concatenate(rows), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), y, np.int32)), pa.array(n)], ["at", "label", "n"])
 
     counts = marked.mapInArrow(count, "at int, label int, n long").groupBy("at").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("t"), F.sum(F.expr("if(label = 1, 0, n)")).alias("c"))
     often = counts.where("at = 0 OR (t >= 4 AND t > c * 0.01)").toPandas()  # at most 2 ** BITS rows
@@ -137,9 +136,9 @@ def fit(labelled: DataFrame, label: str = "toxic") -> Chain:
     mask[chosen] = mask[0] = True
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.sort(a[mask[a]]).astype(np.int32) for a in map(features, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
+        for part in (p for b in batches for p in parts(b)):
+            rows = [np.sort(a[mask[a]]).astype(np.int32) for a in map(features, part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
     if not toxic or not clean:
         low = np.zeros(SIZE + len(CATEGORIES))
@@ -164,11 +163,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Chain(shared.value)
-        for batch in batches:
-            made = [own.probabilities(features(t)) for t in batch.column(place).to_pylist()]
+        for part in (p for b in batches for p in parts(b)):
+            made = [own.probabilities(features(t)) for t in part.column(place).to_pylist()]
             p = np.array(made).reshape(-1, len(added))
-            columns = [*batch.columns[:place], *(pa.array(p[:, k]) for k in range(len(added)))]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*list(batch.schema)[:place], *(pa.field(c, pa.float64()) for c in added)]))
+            columns = [*part.columns[:place], *(pa.array(p[:, k]) for k in range(len(added)))]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*list(part.schema)[:place], *(pa.field(c, pa.float64()) for c in added)]))
 
     from pyspark.sql import types as T
 
