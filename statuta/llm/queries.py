@@ -33,7 +33,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
     made = chat.format_chats(chat.canonical_turns(rows.union(more)))
     read = made.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.masked_text("formatted", "mask").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
