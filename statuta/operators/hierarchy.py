@@ -14,17 +14,20 @@ def ancestor_chains(rows: DataFrame, starts: DataFrame | None = None, depth: int
     """leaf_id, depth (0: the row itself), and the columns of each row on the chain from a start up to its root.
 
     The tree is shallow and of known depth, so the chain is that many equi-joins
-    on id, in which a chain drops out where its parent is null or missing; a
-    cycle ends with the depth. Without starts, every row is one.
+    on id, each of which appends a row to the chain of a start; a chain ends
+    where its parent is null or missing, a cycle with the depth. Ended chains
+    get keys of their own that match nothing, so that no task gathers them.
+    Without starts, every row is one.
     """
     leaves = rows if starts is None else rows.join(starts.select("id").distinct(), "id", "left_semi")
-    level = leaves.select(F.col("id").alias("leaf_id"), F.lit(0).alias("depth"), *rows.columns)
-    out = level
+    one = lambda d: F.struct(F.lit(d).alias("depth"), *rows.columns)
+    chains = leaves.select(F.col("id").alias("leaf_id"), F.col("parent_id").alias("_up"), F.array(one(0)).alias("_chain"))
     for d in range(1, depth):
-        step = level.select("leaf_id", F.col("parent_id").alias("_up")).where("_up IS NOT NULL")
-        level = step.join(rows, step["_up"] == rows["id"]).select("leaf_id", F.lit(d).alias("depth"), *rows.columns)
-        out = out.unionByName(level)
-    return out
+        above = rows.select(F.concat(F.lit("="), F.col("id").cast("string")).alias("_key"), F.col("parent_id").alias("_next"), one(d).alias("_row"))
+        keyed = chains.withColumn("_want", F.coalesce(F.concat(F.lit("="), F.col("_up").cast("string")), F.concat(F.lit("!"), F.col("leaf_id").cast("string"))))
+        grown = F.when(F.col("_row").isNull(), F.col("_chain")).otherwise(F.concat("_chain", F.array("_row")))
+        chains = keyed.join(above, keyed["_want"] == above["_key"], "left").select("leaf_id", F.col("_next").alias("_up"), grown.alias("_chain"))
+    return chains.select("leaf_id", F.explode("_chain").alias("_row")).select("leaf_id", "_row.*")
 
 
 def recursive_chains(rows: DataFrame, view: str = "_statuta_rows") -> DataFrame:
