@@ -89,4 +89,5 @@ ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
