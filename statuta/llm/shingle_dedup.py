@@ -1,0 +1,130 @@
+"""Near-dedup by similarity: documents are linked whose sets of word shingles have a Jaccard similarity of 4/5 or more."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from statuta.llm.common import materialise
+from statuta.llm.components import connected_components
+from statuta.llm.words import mix
+
+#: Bands of least hashes, and hashes in a band. At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 48 = 5e-9, above it with less.
+BANDS, ROWS = 48, 5
+_RANDOM = np.random.default_rng(42)
+ODDS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIPS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct XXH64 of the word shingles, ascending; a shorter text is one shingle, no word: none."""
+    words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])
+    n = max(1, len(words) - width + 1)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(line[s:e], 42) for s, e in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist(), strict=True)), np.uint64, n))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band of least hashes; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        part = (shingles[None, at : at + 512] ^ FLIPS[:, None]) * ODDS[:, None]
+        least = np.minimum(least, part.min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys, column, 0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).astype(np.int64))
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 of rows (with text), fp (names the shingle set), n (its size), keys (of its bands)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"]]
+            yield batch[["doc_id", "h1", "h2"]].assign(fp=[_set_id(s) for s in sets], n=[len(s) for s in sets], keys=[band_keys(s) for s in sets])
+
+    return rows.mapInPandas(run, "doc_id long, h1 long, h2 long, fp long, n long, keys array<long>")
+
+
+def sets_of(rows: DataFrame) -> DataFrame:
+    """fp, shingles of rows (text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"]]
+            yield pd.DataFrame({"fp": [_set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+
+    return rows.mapInPandas(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
+
+
+def _similar(x: str, y: str) -> Column:
+    """Jaccard similarity of at least 4/5, in whole numbers; the sizes alone rule many pairs out."""
+    sizes = f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)"
+    return F.expr(f"CASE WHEN {sizes} THEN 9 * size(array_intersect({x}.shingles, {y}.shingles)) >= 4 * ({x}.n + {y}.n) ELSE false END")
+
+
+def link_sets(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """fp, component (smallest fp reachable) of each shingle set that has a similar one, of distinct (fp, n, keys, h1, h2) and the rows texts (h1, h2, text).
+
+    Candidates share a band. First each bucket's members are tried against its
+    smallest one. Then only pairs from different components are tried, with the
+    bucket's largest component on one side, so that a dense group never meets
+    itself. Every link is verified on the whole sets.
+    """
+    keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("fp").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "leader")
+    shared = materialise(keyed.join(leaders, "key"), "shared")
+    wanted = distinct.join(shared.select("fp").distinct(), "fp", "left_semi").select("h1", "h2", "n", "fp")
+    sets = sets_of(texts.join(wanted, ["h1", "h2"], "left_semi")).join(wanted.select("fp", "n"), "fp")
+    sets = materialise(sets.select("fp", "n", "shingles"), "sets")
+    pairs = shared.where("fp <> leader").select("fp", "leader").distinct()
+    met = pairs.join(sets.alias("x"), "fp").join(sets.withColumnRenamed("fp", "leader").alias("y"), "leader").where(_similar("x", "y"))
+    stars = materialise(met.select(F.col("fp").alias("a"), F.col("leader").alias("b")), "stars")
+    first = materialise(connected_components(stars), "first")
+    placed = shared.join(first, shared.fp == first.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    placed = materialise(placed, "placed")
+    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "home")
+    open_ = materialise(placed.join(mixed, "key").join(sets, "fp").select("key", "fp", "part", "home", "n", "shingles"), "open")
+    rest = open_.where("part <> home")
+    cross = (
+        rest.alias("x")
+        .join(open_.alias("y"), F.expr("x.key = y.key AND x.part <> y.part AND (y.part = y.home OR x.fp < y.fp)") & _similar("x", "y"))
+        .select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
+    )
+    merged = connected_components(materialise(cross.distinct(), "cross"))
+    nodes = first.select("node", "component").union(merged.select("node").join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
+    joined = nodes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    return joined.select(F.col("node").alias("fp"), F.coalesce("_to", "component").alias("component"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h1, h2 (hashes of id and text), component (names the group) for each row.
+
+    Shingles are five words, parted by ASCII white space, with A-Z in lower
+    case. Rows of equal sets, among them all without a word, meet as one.
+    """
+    key = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second half"), *key).alias("h2"), F.col(text_col).alias("text"))
+    marked = materialise(sketches(rows), "sketches")
+    distinct = marked.groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = materialise(distinct.select("fp", "n", "keys", "row.h1", "row.h2"), "distinct")
+    parts = materialise(link_sets(distinct, rows.select("h1", "h2", "text")), "parts")
+    return marked.select("doc_id", "h1", "h2", "fp").join(parts, "fp", "left").select("doc_id", "h1", "h2", F.coalesce("component", "fp").alias("component"))

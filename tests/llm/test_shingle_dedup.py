@@ -1,0 +1,59 @@
+import random
+
+import corpus_pipeline
+from statuta.llm import shingle_dedup
+from tests.llm.test_simhash import brute_fingerprint
+
+
+def brute_sets(texts):
+    """Groups by 5-word shingle similarity of 0.8 or more, with plain sets of words."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ids, parent = sorted(texts), {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            a, b = sets[i], sets[j]
+            if j > i and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    return {i: root(i) for i in ids}
+
+
+def edited(rng, words, share):
+    return [f"n{rng.random()}" if rng.random() < share else w for w in words]
+
+
+def test_stage_matches_brute_force(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    dense = {100_000 + i: " ".join(edited(rng, base, rng.choice([0.01, 0.02, 0.05, 0.1]))) for i in range(150)}
+    few = {200_000: None, 200_001: " \t", 200_002: "one two three", 200_003: "ONE two  three", 200_004: "one two"}
+    more = spark.createDataFrame(list({**dense, **few}.items()), "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(more)
+    texts = {**texts, **dense, **few}
+    want = brute_sets(texts)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i in texts if want[i] == i}
+
+
+def test_pair_that_differs_in_more_than_four_bits_goes(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id IN (1, 177)")
+    one, other = [brute_fingerprint(r.text) for r in documents.collect()]
+    assert bin(one ^ other).count("1") > 4
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents, "").collect()] == [1]
+
+
+def test_nothing_to_link(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 2
+    assert shingle_dedup.similar_groups(docs.limit(0)).count() == 0
