@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.llm.common import materialise
@@ -115,16 +115,22 @@ def link_sets(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select(F.col("node").alias("fp"), F.coalesce("_to", "component").alias("component"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h1, h2 (hashes of id and text), component (names the group) for each row.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group of similar ones: the smallest by id (null last), then hash of id and text, then hash of the row.
 
     Shingles are five words, parted by ASCII white space, with A-Z in lower
     case. Rows of equal sets, among them all without a word, meet as one.
     """
     key = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second half"), *key).alias("h2"), F.col(text_col).alias("text"))
+    hashes = [F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second half"), *key).alias("h2")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *hashes, F.col(text_col).alias("text"))
     marked = materialise(sketches(rows), "sketches")
-    distinct = marked.groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    distinct = materialise(distinct.select("fp", "n", "keys", "row.h1", "row.h2"), "distinct")
-    parts = materialise(link_sets(distinct, rows.select("h1", "h2", "text")), "parts")
-    return marked.select("doc_id", "h1", "h2", "fp").join(parts, "fp", "left").select("doc_id", "h1", "h2", F.coalesce("component", "fp").alias("component"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("row")
+    distinct = marked.groupBy("fp").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = materialise(distinct.select("fp", "n", "keys", "row", "row.h1", "row.h2"), "distinct")
+    parts = link_sets(distinct, rows.select("h1", "h2", "text"))
+    named = distinct.select("fp", "row").join(parts, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("row").alias("row"))
+    stay = materialise(named.select(F.col("row.h1").alias("_h1"), F.col("row.h2").alias("_h2")), "stay")
+    met = docs.select("*", hashes[0].alias("_h1"), hashes[1].alias("_h2")).join(stay, ["_h1", "_h2"], "left_semi")
+    equal = Window.partitionBy("_h1", "_h2").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))  # rows that repeat id and text
+    return met.withColumn("_at", F.row_number().over(equal)).where("_at = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,7 +53,15 @@ def test_pair_that_differs_in_more_than_four_bits_goes(spark):
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, documents, "").collect()] == [1]
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven", "twelve thirteen", "fourteen")
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "x"), (3, b, "x"), (None, c, "x"), (None, c, "x"), (None, c + " ", "x"), (None, d, "x"), (9, d, "x"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [(r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (3, b), (None, c), (9, d), (None, "")], key=str)
+
+
 def test_nothing_to_link(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 2
-    assert shingle_dedup.similar_groups(docs.limit(0)).count() == 0
+    assert shingle_dedup.one_of_each(docs.limit(0)).count() == 0
