@@ -418,7 +418,7 @@ def label_census(spark, sf):
 @_query()
 def knowledge_graph(spark, sf):
     table = parse_synonyms(spark.createDataFrame(list(enumerate(SYNONYMS)), "line_no int, value string"))
-    return build_graph.build(_laws(spark, sf), table, build_graph.Settings())[1]
+    return build_graph.build(_laws(spark, sf), table, build_graph.Settings(sentence_scope="all"))[1]
 
 
 @_query()

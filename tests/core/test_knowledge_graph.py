@@ -1,0 +1,14 @@
+from statuta.operators import graph
+from statuta.operators.synonyms import parse_synonyms
+from statuta.plans.queries import QUERIES, SYNONYMS
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_sentence_gives_its_edges(spark):
+    told = QUERIES["triplets_prod"](spark, SF)
+    table = parse_synonyms(spark.createDataFrame(list(enumerate(SYNONYMS)), "line_no int, value string"))
+    edges = lambda rows: {(r.c1, r.r, r.c2) for r in graph.merge_edges(graph.edge_support(graph.build_triplets(rows, table))).select("c1", "r", "c2").collect()}
+    want = edges(told)
+    assert edges(told.where("sent_id = 0")) < want
+    assert {(r.c1, r.r, r.c2) for r in QUERIES["knowledge_graph"](spark, SF).select("c1", "r", "c2").collect()} == want
