@@ -1,4 +1,8 @@
-"""Substring dedup: documents parsed greedily into factors against an index of all reference blocks."""
+"""Substring dedup: documents cut into blocks at anchors, which are looked up in an index of all blocks.
+
+Anchor blocks and equi-joins on hashes take the place of a greedy parse into
+longest factors, which needs the whole reference at hand to extend a match.
+"""
 
 from __future__ import annotations
 
