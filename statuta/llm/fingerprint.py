@@ -63,15 +63,21 @@ def likeness(a: str, b: str) -> Column:
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """docs (doc_id, text) in ascending order of id, dealt by cells of neighbouring ids, each cell closed by a copy of the next one's first row (last: true).
 
-    The number of cells is bounded, so the table of their first ids is as well;
-    it is broadcast to fetch the copies. The last cell is closed by the first row.
+    Cells are cut at quantiles of the ids, so that they hold about as many rows
+    each however the ids lie. The number of cells is bounded, so the table of
+    their first ids is as well; it is broadcast to fetch the copies. The last
+    cell is closed by the first row.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    seen = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high, n = seen[0] or 0, seen[1] or 0, seen[2]
-    width = (high - low) // max(1, min(MOST_CELLS, n // CELL_ROWS)) + 1
-    kind = "BIGINT" if high - low < 1 << 62 else "DECIMAL(38,0)"
-    cell = F.coalesce(F.expr(f"CAST((CAST(doc_id AS {kind}) - CAST('{low}' AS {kind})) DIV CAST('{width}' AS {kind}) AS BIGINT)"), F.lit(0))
+    cells = max(1, min(MOST_CELLS, docs.count() // CELL_ROWS))
+    cell = F.lit(0)
+    if cells > 1:
+        shares = ",".join(str(k / cells) for k in range(1, cells))
+        found = docs.select(key.alias("key")).agg(F.expr(f"percentile_approx(key, CAST(split('{shares}', ',') AS ARRAY<DOUBLE>), {max(10_000, 4 * cells)})")).first()[0]
+        borders = sorted(set(found))
+        steps = ", ".join(str(1 << k) for k in reversed(range(len(borders).bit_length())))
+        at_or_above = f"get(CAST(split('{','.join(map(str, borders))}', ',') AS ARRAY<BIGINT>), p + s - 1) <= coalesce(doc_id, {-(1 << 63) + 1}L - 1L)"
+        cell = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(coalesce({at_or_above}, false), p + s, p))")  # borders up to the id, by bisection
     placed = docs.select("doc_id", "text", key.alias("key"), cell.alias("cell"))
     heads = placed.groupBy("cell").agg(F.min("key").alias("key"))
     order = Window.partitionBy(F.lit(0)).orderBy("cell")  # over at most MOST_CELLS rows
