@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it lies in fewer files than there are cores; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def bytes_of(setting: str) -> int:
+    """A size as Spark writes it: 64m, 134217728b."""
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table over all cores.
+
+    A table of fewer bytes than one full input split for each core may lie in
+    few row groups, so it is dealt anew; what that moves is bounded by the
+    cores. A larger table is read as it is split, and none of its rows move.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    return table.repartition(cores) if size < cores * split else table

@@ -12,7 +12,7 @@ from statuta.functions.constants import TONE_MARKS
 from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer
 from statuta.operators.synonyms import canonical, parse_synonyms
 from statuta.plans import build_graph
-from statuta.plans.partitioning import spread
+from statuta.plans.partitioning import read_spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -377,12 +377,12 @@ def embedding_similarity(spark, sf):
 
 @_query()
 def tokenize_vi(spark, sf):
-    return spread(_t(spark, sf, "documents")).select("doc_id", tokenizer.tokens(F.col("text")).alias("tokens"))
+    return read_spread(spark, sf, "documents").select("doc_id", tokenizer.tokens(F.col("text")).alias("tokens"))
 
 
 @_query()
 def sentence_split(spark, sf):
-    parts = spread(_t(spark, sf, "documents")).select("doc_id", tokenizer.sentences(F.col("text")).alias("s"))
+    parts = read_spread(spark, sf, "documents").select("doc_id", tokenizer.sentences(F.col("text")).alias("s"))
     return parts.select("doc_id", F.posexplode("s").alias("sent_id", "tokens")).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("sentence"))
 
 
@@ -390,17 +390,17 @@ def sentence_split(spark, sf):
 def segment_rdr(spark, sf):
     lexicon = segmenter.Lexicon(words=frozenset({"of the", "in the", "die der"}))
     rules = segmenter.parse_rules(["True", '\tobject.tag == "I" : object.conclusion = "I"', '\t\tobject.prevWord1 == "of" : object.conclusion = "B"'])
-    return spread(_t(spark, sf, "documents")).select("doc_id", segmenter.segmented(F.col("text"), lexicon, rules).alias("sentences"))
+    return read_spread(spark, sf, "documents").select("doc_id", segmenter.segmented(F.col("text"), lexicon, rules).alias("sentences"))
 
 
 @_query()
 def detect_language(spark, sf):
     detector = lambda: lambda t: "de" if " der " in t else "fr" if " les " in t else "es" if " los " in t else "en" if " the " in t else None
-    return spread(_t(spark, sf, "documents")).select("doc_id", annotate.language(F.col("text"), detector).alias("language"))
+    return read_spread(spark, sf, "documents").select("doc_id", annotate.language(F.col("text"), detector).alias("language"))
 
 
 def _laws(spark, sf) -> DataFrame:
-    return spread(_t(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("so_hieu"), F.col("text").alias("content"))
+    return read_spread(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("so_hieu"), F.col("text").alias("content"))
 
 
 @_query()
