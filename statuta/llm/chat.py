@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Callable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.llm.common import packed
+
 OPEN, CLOSE = "### ", "</turn>\n"
+TURNS = "array<struct<role: string, text: string>>"
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+
+def _role(c: Column) -> Column:
+    return F.when(c == "human", "user").when(c == "gpt", "assistant").otherwise(c)
+
+
+def _pair(question: str, answer: str):
+    return (question, answer), lambda r: F.array(_turn(F.lit("user"), r[question]), _turn(F.lit("assistant"), r[answer]))
+
+
+def _row(role: str, text: str, named: Callable = lambda c: c):
+    return (role, text), lambda r: F.array(_turn(named(r[role]), r[text]))
+
 
-#: Declarative mappings by layout: the nested field paths that make it, and the SQL for its array of turns (role, text).
+def _list(field: str, role: str, text: str, named: Callable = lambda c: c):
+    return (f"{field}[].{role}", f"{field}[].{text}"), lambda r: F.transform(r[field], lambda m: _turn(named(m[role]), m[text]))
+
+
+def _with_input(r: Column) -> Column:
+    more = F.coalesce(r["input"], F.lit(""))
+    asked = F.when(more == "", r["instruction"]).otherwise(F.concat(F.coalesce(r["instruction"], F.lit("")), F.lit("\n\n"), more))
+    return F.array(_turn(F.lit("user"), asked), _turn(F.lit("assistant"), r["output"]))
+
+
+#: Declarative mappings by layout: the nested field paths that make it, and its array of turns (role, text) read from a record.
 #: Turn rows are one turn each; the others hold a whole conversation.
 LAYOUTS = {
-    "turn_rows": (("role", "text"), "array(struct(role AS role, text AS text))"),
-    "turn_rows_content": (("content", "role"), "array(struct(role AS role, content AS text))"),
-    "turn_rows_from": (("from", "value"), "array(struct({from_role} AS role, value AS text))"),
-    "prompt_response": (("prompt", "response"), "array(struct('user' AS role, prompt AS text), struct('assistant' AS role, response AS text))"),
-    "prompt_completion": (("completion", "prompt"), "array(struct('user' AS role, prompt AS text), struct('assistant' AS role, completion AS text))"),
-    "question_answer": (("answer", "question"), "array(struct('user' AS role, question AS text), struct('assistant' AS role, answer AS text))"),
-    "instruction_output": (("instruction", "output"), "array(struct('user' AS role, instruction AS text), struct('assistant' AS role, output AS text))"),
-    "instruction_input_output": (
-        ("input", "instruction", "output"),
-        "array(struct('user' AS role, if(coalesce(input, '') = '', instruction, concat(coalesce(instruction, ''), '\n\n', input)) AS text), struct('assistant' AS role, output AS text))",
-    ),
-    "messages": (("messages[].content", "messages[].role"), "transform(messages, m -> struct(m.role AS role, m.content AS text))"),
-    "conversations": (("conversations[].from", "conversations[].value"), "transform(conversations, m -> struct(CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END AS role, m.value AS text))"),
+    "turn_rows": _row("role", "text"),
+    "turn_rows_content": _row("role", "content"),
+    "turn_rows_from": _row("from", "value", _role),
+    "prompt_response": _pair("prompt", "response"),
+    "prompt_completion": _pair("prompt", "completion"),
+    "question_answer": _pair("question", "answer"),
+    "instruction_output": _pair("instruction", "output"),
+    "instruction_input_output": (("instruction", "input", "output"), _with_input),
+    "messages": _list("messages", "role", "content"),
+    "conversations": _list("conversations", "from", "value", _role),
 }
-_FROM_ROLE = "CASE `from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE `from` END"
 #: Field paths that count for a fingerprint; all others (ids, sources, extra columns) don't.
 KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths}
 
@@ -41,32 +69,62 @@ def paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(schema: T.StructType) -> int:
-    """Hash of the known field paths of a schema, whatever their order."""
-    return zlib.crc32("\n".join(sorted(KNOWN.intersection(paths(schema)))).encode())
+def fingerprint(found) -> int:
+    """XXH64 of the known ones of some field paths, whatever their order, as Spark's xxhash64 has it of the same text."""
+    return int(np.uint64(xxhash.xxh64_intdigest("\n".join(sorted(KNOWN.intersection(found))), 42)).astype(np.int64))
 
 
-_BY_FINGERPRINT = {zlib.crc32("\n".join(sorted(own)).encode()): name for name, (own, _) in LAYOUTS.items()}
+_BY_FINGERPRINT = {fingerprint(own): name for name, (own, _) in LAYOUTS.items()}
 
 
-def layout_of(schema: T.StructType) -> str:
-    found = _BY_FINGERPRINT.get(fingerprint(schema))
-    if found is None:
-        raise ValueError(f"no layout has the field paths {sorted(KNOWN.intersection(paths(schema)))}")
-    return found
+def layouts_of(schema: T.StructType) -> list[str]:
+    """The layouts that records of a schema may have: the one that its fingerprint names, or else those whose paths are all there, most paths first."""
+    have = set(paths(schema))
+    exact = _BY_FINGERPRINT.get(fingerprint(have))
+    able = [exact] if exact else sorted((n for n, (own, _) in LAYOUTS.items() if have.issuperset(own)), key=lambda n: -len(LAYOUTS[n][0]))
+    if not able:
+        raise ValueError(f"no layout has its field paths among {sorted(have)}")
+    return able
 
 
-def canonical_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str | None = "turn") -> DataFrame:
-    """conv_id, turn, role, text: the records' turns by the mapping that their schema's fingerprint selects.
+def record_layout(record: Column, able: list[str]) -> Column:
+    """The layout of a record, among those that its schema allows.
 
-    Null texts become empty. turn_col orders rows that are one turn each; other
-    layouts number their turns from 0. Null message arrays yield no turn.
+    The paths at which it has values are hashed, and a known fingerprint selects
+    its layout. Otherwise (null fields, fields of several layouts) the first
+    layout counts whose paths all have values, then the first that has some,
+    then the first.
+    """
+    has = {p: record[p.split("[]")[0]].isNotNull() for n in able for p in LAYOUTS[n][0]}
+    told = F.array_join(F.array_compact(F.array(*[F.when(has[p], F.lit(p)) for p in sorted(has)])), "\n")
+    hit = F.xxhash64(told)
+    tests = [(hit == fingerprint(LAYOUTS[n][0]), n) for n in able]
+    tests += [(F.forall(F.array(*[has[p] for p in LAYOUTS[n][0]]), lambda x: x), n) for n in able]
+    tests += [(F.exists(F.array(*[has[p] for p in LAYOUTS[n][0]]), lambda x: x), n) for n in able]
+    return F.coalesce(*[F.when(test, n) for test, n in tests], F.lit(able[0]))
+
+
+def canonical_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str | None = "turn") -> DataFrame:
+    """conv_id, turn, role, text: the records' turns by the mapping that the fingerprint of their field paths selects.
+
+    The schema's fingerprint decides if it is that of a layout, whatever other
+    columns there are. Otherwise a table may mix layouts, and each record is
+    judged by the paths at which it has values. Null texts become empty; texts
+    of any length are taken whole. turn_col orders rows that are one turn each;
+    other layouts number their turns from 0. Null message arrays yield no turn,
+    nor does an empty table. Rows that repeat a turn are all kept.
     """
-    turns = LAYOUTS[layout_of(records.schema)][1].format(from_role=_FROM_ROLE)
+    able = layouts_of(records.schema)
     rows = turn_col is not None and turn_col in records.columns
-    made = records.select(F.col(f"`{id_col}`").alias("conv_id"), (F.col(f"`{turn_col}`") if rows else F.lit(0)).cast("long").alias("base"), F.expr(turns).alias("turns"))
+    base, row = records.select(packed(records).alias("row")), F.col("row")
+    turns = LAYOUTS[able[0]][1](row).cast(TURNS)
+    if len(able) > 1:
+        base = base.withColumn("layout", record_layout(row, able))
+        for name in able[1:]:
+            turns = F.when(F.col("layout") == name, LAYOUTS[name][1](row).cast(TURNS)).otherwise(turns)
+    made = base.select(row.getField(id_col).alias("conv_id"), (row.getField(turn_col) if rows else F.lit(0)).cast("long").alias("base"), turns.alias("turns"))
     opened = made.select("conv_id", "base", F.posexplode("turns").alias("pos", "one"))
-    return opened.select("conv_id", (F.col("base") + F.col("pos")).alias("turn"), F.col("one.role").alias("role"), F.coalesce("one.text", F.lit("")).alias("text"))
+    return opened.select("conv_id", (F.coalesce("base", F.lit(0)) + F.col("pos")).alias("turn"), F.col("one.role").alias("role"), F.coalesce("one.text", F.lit("")).alias("text"))
 
 
 def escape(c: Column) -> Column:
@@ -89,7 +147,9 @@ def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     A turn is `### role: text</turn>` and a line feed, role and text escaped.
     The spans are the texts of the given role, without marks. Turns are ordered
     by number, then role and text. A null role is written as empty. Turns of a
-    null conv_id make one conversation.
+    null conv_id make one conversation. Texts of any length are written whole;
+    turns that repeat are written each; an empty table gives no row. Columns
+    other than conv_id, turn, role and text are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     pieces = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.concat(F.lit(OPEN), F.replace(escape(role), F.lit(":"), F.lit("\\c")), F.lit(": ")).alias("head"), escape(text).alias("body"))

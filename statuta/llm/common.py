@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +18,72 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves if Spark runs in one
+    process (tests); on a cluster that is an error, since executors would write
+    to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "statuta-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df with a Parquet table in the shared folder, so that it survives lost executors."""
+    """Cut the lineage of df with a Parquet table in the shared folder, so that it survives lost executors.
+
+    The table is deleted by free(), or when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._materialised = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete materialised tables, once all that read them is written."""
+    for t in tables:
+        system, place = _file_system(t.sparkSession, t._materialised)
+        system.delete(place, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+    return F.coalesce(F.col(quoted(text)), F.lit(""))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of an operator's own can meet a user's column."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def unpacked(made: DataFrame, *added: str, row: str = "row") -> list[Column]:
+    """The fields of the struct, but for those that an added column replaces, then the added columns."""
+    taken = {a.lower() for a in added}
+    return [F.col(row).getField(f.name).alias(f.name) for f in made.schema[row].dataType.fields if f.name.lower() not in taken] + [F.col(a) for a in added]
+
+
+def with_text(made: DataFrame, text: Column, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The fields of the struct `row`, in order and type, with another text and, if there is such a field, its length."""
+    kinds = made.schema["row"].dataType.fields
+    new = {text_col: text, size_col: F.length(text)}
+    return made.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name) for f in kinds])
 
 
 def lower_ascii(c: Column) -> Column:
@@ -44,7 +96,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if it lies in fewer files than there are cores, for Python work; a table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that few texts are Python strings at a time."""
+    return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
+
+
+def mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
+    """Order-sensitive combination of two arrays of 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(odd) + b
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import materialise
+from statuta.llm.common import free, materialise
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,17 +25,21 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of edges (a, b): long ids, any direction, repeats and loops allowed.
 
-    Each round is written to the shared folder. The rounds end when a round
-    changes no edge, which takes a number of rounds that grows with the
-    logarithm of the longest chain.
+    Each round is written to the shared folder and the one before deleted. The
+    rounds end when a round changes no edge, which takes a number of rounds that
+    grows with the logarithm of the longest chain. The result is written too.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = materialise(_small(_large(now)), "edges")
+        after = materialise(_small(_large(now)), "edges")
+        free(now)
+        now = after
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    found = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots), "components")
+    free(now)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_or_empty
+from statuta.llm.common import free, materialise, quoted, text_or_empty
 
 
 def normalise_space(c: Column) -> Column:
@@ -16,27 +16,36 @@ def normalise_space(c: Column) -> Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are grouped by MD5 and, inside a hash, by their bytes, so a hash
-    collision splits into its true groups. That aggregation combines on the map
-    side: a text shared by a third of all rows shrinks to a row for each task.
-    Rows find their group by MD5 and SHA-256 together, without moving texts
-    again; the join's hot keys are split by AQE, since the other side has one
-    row for each group.
-
-    Null text counts as empty. Rows that repeat an id count each and share
-    keep_id. A null id never wins over another id; a group of null ids only has
-    a null keep_id and keeps its rows. Other columns are ignored.
+    Hashes come first: rows are counted by MD5. Only texts whose MD5 occurs
+    again are grouped by their bytes, so a hash collision splits into its true
+    groups; that aggregation combines on the map side, so a text shared by a
+    third of all rows shrinks to a row for each task. Those rows find their
+    group by MD5 and SHA-256 together; the join's hot keys are split by AQE,
+    since the other side has one row for each group. A text whose MD5 occurs
+    once never moves.
+
+    Null text counts as empty; texts are read whole; an empty table gives no
+    row. Rows that repeat an id count each and share keep_id. A null id never
+    wins over another id; a group of null ids only has a null keep_id and keeps
+    its rows. Other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalise_space(text_or_empty(text_col)).alias("body"))
-    hashed = base.select("doc_id", F.unhex(F.md5("body")).alias("h128"), F.sha2("body", 256).alias("text_sha256"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), normalise_space(text_or_empty(text_col)).alias("body"))
+    h128 = F.unhex(F.md5("body")).alias("h128")
+    hashed = materialise(base.select("doc_id", h128, F.sha2("body", 256).alias("text_sha256")), "hashes")
+    again = hashed.groupBy("h128").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h128")
+    again = materialise(again, "repeated")  # its size is then known: a small one is broadcast
     groups = (
-        base.groupBy(F.unhex(F.md5("body")).alias("h128"), "body")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h128", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    return hashed.join(groups, ["h128", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        base.select("doc_id", "body", h128)
+        .join(again, "h128", "left_semi")
+        .groupBy("h128", "body")
+        .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+        .select("h128", F.sha2("body", 256).alias("text_sha256"), "least", "size")
     )
+    groups = materialise(groups, "groups")
+    free(again)
+    found = hashed.join(groups, ["h128", "text_sha256"], "left")
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""

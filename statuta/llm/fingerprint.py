@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_or_empty
+from statuta.llm.common import quoted, text_or_empty
 
 WORDS = 3  # words in a k-mer
 BINS = 64  # tuples in a signature, a power of two
-#: The low bits of a packed number hold a place in the text, the others a hash.
-PLACE_BITS = 24
+#: The low bits of a packed number hold a place in the text, the others a hash. A string has no more words than that.
+PLACE_BITS = 31
 PLACE = (1 << PLACE_BITS) - 1
-#: Documents are handled in runs of neighbouring ids, of which there are at most this many.
+#: Documents are handled in runs of neighbouring ids, one to a task: CELL_ROWS rows each, but no more than MOST_CELLS tasks, beyond which runs grow (their sorts spill).
 MOST_CELLS = 1 << 16
 CELL_ROWS = 500
 
@@ -27,8 +27,6 @@ def signatures(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     each bin the two smallest are taken, put in text order, and hashed as a
     tuple. So a signature depends on which k-mers occur, how often, and in
     which order. All steps are linear but for two sorts of packed longs.
-
-    Places beyond 2 ** PLACE_BITS words wrap, which only affects order there.
     """
     for name, to in texts.items():
         keep = [c for c in df.columns if c != name and not c.startswith("_w")]
@@ -93,11 +91,12 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document, in ascending order of id; the
-    last one's next is the first. Null text is empty; null ids come first;
-    rows that repeat an id follow one another in order of text. A table of one
-    row is its own next.
+    last one's next is the first. Null text is empty; texts are read whole,
+    whatever their length; null ids come first; rows that repeat an id follow
+    one another in order of text. A table of one row is its own next; an empty
+    one gives no row. Other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows, order = with_next(base)
     turn = ["cell", "last", "key"]
     half = F.expr("n_chars - n_chars div 2").cast("int")

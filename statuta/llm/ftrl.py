@@ -21,9 +21,9 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def update(self, at: np.ndarray, values: np.ndarray, label: float, importance: float = 1.0) -> None:
+    def update(self, at: np.ndarray, values: np.ndarray, label: float) -> None:
         w = self.weights(at)
-        g = (sigmoid(w @ values) - label) * values * importance
+        g = (sigmoid(w @ values) - label) * values
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
@@ -35,3 +35,4 @@ class Ftrl:
             for i in rng.permutation(len(rows)):
                 self.update(*rows[i], labels[i])
         return self
+

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statuta.llm.common import lower_ascii, materialise, text_or_empty
+from statuta.llm.common import free, lower_ascii, materialise, packed, unpacked
 
 #: Slices into which the occurrences of a line are dealt by document, so that a line in a third of all documents spreads.
 SLICES = 256
@@ -16,16 +16,15 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, drops: the 64-line words of the document's bitmap in which lines go (bit set: dropped); words without a drop are left out.
+def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+    """doc_id, text_key, drops of docs (doc_id, text): the 64-line words of a document's bitmap in which lines go (bit set: dropped); words without a drop are left out.
 
     Line hashes (128 bits) are range-partitioned by (hash, slice of the document)
     and sorted inside by document and position; one streaming pass marks the
     first occurrence in each document, so a slice yields its number of documents
     and its largest id, and slices are added up by hash.
     """
-    body = text_or_empty(text_col)
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = lines.where(F.length("line") >= min_chars).select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key"))
     hashed = keyed.where(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second half"), "key").alias("h2"), "doc_id", "text_key", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice")
@@ -39,7 +38,29 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col
     shared = materialise(shared, "shared_lines")  # a table of its own, so that AQE can split the join's hot hashes
     gone = table.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     words = gone.groupBy("doc_id", "text_key", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
-    return words.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    made = words.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    made = materialise(made, "bitmaps")  # its size is then known: a small one is broadcast, and the texts stay where they are
+    free(table, shared)
+    return made
+
+
+def judged(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (all columns of docs as a struct), drops, n_lines, n_dropped, kept_text; see dedup_lines()."""
+    base = docs.select(packed(docs).alias("row"))
+    doc_id, text = F.col("row").getField(id_col).cast("long"), F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    bitmaps = drop_bitmaps(base.select(doc_id.alias("doc_id"), text.alias("text")), min_docs, min_chars)
+    joined = base.join(bitmaps, doc_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left").select("row", "drops")
+    lines = F.when(F.col("drops").isNotNull(), F.split(text, "\n"))
+    dense = F.expr("CASE WHEN drops IS NOT NULL THEN transform(sequence(0, element_at(drops, -1).word), w -> coalesce(try_element_at(map_from_entries(drops), w), 0L)) END")
+    kept = F.expr("array_join(filter(lines, (x, i) -> coalesce(shiftright(get(dense, i div 64), i & 63) & 1L, 0L) = 0L), '\n')")
+    opened = joined.select("row", "drops", lines.alias("lines"), dense.alias("dense"))
+    return opened.select(
+        "row",
+        "drops",
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.expr("aggregate(drops, 0L, (a, x) -> a + bit_count(x.bits))"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), text).otherwise(kept).alias("kept_text"),
+    )
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,25 +70,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     min_chars code points and occurs in min_docs documents goes everywhere but
     in the largest id that holds it, where all its copies stay.
 
-    Null or empty text is one empty line. Rows that repeat an id count as one
+    Null or empty text is one empty line; an empty table stays empty. A text of
+    any number of lines is read whole. Rows that repeat an id count as one
     document; each is cut by its own text. A null id is one more document,
-    smaller than any other. Added columns replace columns of the same name.
+    smaller than any other. Added columns replace columns of the same name;
+    no other name matters.
     """
-    bitmaps = drop_bitmaps(docs, min_docs, min_chars, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drops").alias("_drops"))
-    rest = docs.drop("drops", "n_lines", "n_dropped", "kept_text")
-    found = rest.withColumn("_text_key", F.xxhash64(text_or_empty(text_col)))
-    joined = found.join(bitmaps, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines = F.split(text_or_empty(text_col), "\n")
-    dense = F.expr("transform(sequence(0, element_at(_drops, -1).word), w -> coalesce(try_element_at(map_from_entries(_drops), w), 0L))")
-    kept = F.expr("array_join(filter(_lines, (x, i) -> coalesce(shiftright(get(_dense, i div 64), i & 63) & 1L, 0L) = 0L), '\n')")
-    opened = joined.withColumn("_lines", F.when(F.col("_drops").isNotNull(), lines)).withColumn("_dense", F.when(F.col("_drops").isNotNull(), dense))
-    return opened.select(
-        *[F.col(f"`{c}`") for c in rest.columns],
-        F.col("_drops").alias("drops"),
-        (F.length(text_or_empty(text_col)) - F.length(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.expr("aggregate(_drops, 0L, (a, x) -> a + bit_count(x.bits))"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_drops").isNull(), text_or_empty(text_col)).otherwise(kept).alias("kept_text"),
-    )
+    made = judged(docs, min_docs, min_chars, id_col, text_col)
+    return made.select(*unpacked(made, "drops", "n_lines", "n_dropped", "kept_text"))
 
 
 ORACLE = r"""

@@ -6,19 +6,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_or_empty
+from statuta.llm.common import free, materialise, parts, quoted, text_or_empty
 from statuta.llm.ftrl import Ftrl, sigmoid
 
 BITS = 18
 SIZE = 1 << BITS
 CACHE = 120_000
-#: Labelled rows that a fit reads at most; the smallest hashes of their ids are taken.
-FIT_ROWS = 4000
+#: Bounds of a fit: labelled rows that it reads (those with the smallest hashes of their ids), and features of all of them together (the last rows go).
+FIT_ROWS, FIT_FEATURES = 4000, 8_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SEEN: dict[str, tuple[int, int]] = {}
 
@@ -36,22 +37,17 @@ def _word(w: str) -> tuple[int, int]:
     return found
 
 
-def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in slices, so that few texts are Python strings at a time."""
-    return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
-
-
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their values (log-scaled shares, so that a text's length does not matter much).
 
-    Word 1-grams and 2-grams, 1- and 2-grams of word shapes, and n-grams that
-    tell whether a word repeats the one before or stood among the last 32.
-    Feature 0 is the constant.
+    Word 1-grams and 2-grams, 1- and 2-grams of word shapes, and whether words
+    repeat the one before. Feature 0 is the constant, 1 is not used, 2 to 14
+    tell the length.
     """
     words = text.split()
     n = len(words)
     if not n:
-        return np.array([0, 1]), np.ones(2)
+        return np.array([0, 2]), np.array([1.0, 0.2])
     got = list(map(_SEEN.get, words))
     if None in got:
         got = [_word(w) if g is None else g for w, g in zip(words, got, strict=True)]
@@ -65,42 +61,66 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         at = (all_ * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
     at, counts = np.unique(at.astype(np.int64), return_counts=True)
     values = np.log1p(counts * (100.0 / n)) * 0.2
-    keep = at > 1
+    keep = at > 14
     size = np.array([0, 2 + min(int(np.log2(n)), 12)])
     return np.concatenate([size, at[keep]]), np.concatenate([[1.0, 0.2], values[keep]])
 
 
-def fit(labelled: DataFrame, label: str = "quality", epochs: int = 3) -> np.ndarray:
-    """Weights from labelled (doc_id, text, label), a sample that the caller has bounded; none labelled: zeros."""
-    chosen = labelled.where(F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("int").alias("label"))
+def in_bound(rows: DataFrame, most: int) -> pd.DataFrame:
+    """rows (hash, doc_id, n, other columns) in order of hash and id, as far as their sizes n stay within the bound together."""
+    sizes = rows.select("hash", "doc_id", "n").toPandas().sort_values(["hash", "doc_id"])
+    fit = sizes[sizes["n"].cumsum() <= most]
+    if not len(fit):
+        return rows.limit(0).toPandas()
+    last = fit.iloc[-1]
+    chosen = rows.where((F.col("hash") < int(last["hash"])) | ((F.col("hash") == int(last["hash"])) & (F.col("doc_id") <= int(last["doc_id"]))))
+    return chosen.toPandas().sort_values(["hash", "doc_id"], kind="stable")
+
+
+def examples(labelled: DataFrame, label: str = "quality", most: int = FIT_FEATURES) -> tuple[list, np.ndarray]:
+    """Features with values, and labels, of labelled (hash, doc_id, text, label), a sample that the caller has bounded; in order of hash."""
+    chosen = labelled.select("hash", "doc_id", "text", F.col(label).cast("int").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in parts(b)):
-            rows = [features(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "at", "value"])
+            rows = [features(t) for t in part.column(2).to_pylist()]
+            raw = [pa.array([r[k].astype(kind).tobytes() for r in rows], pa.binary()) for k, kind in ((0, "<i4"), (1, "<f4"))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(r[0]) for r in rows], pa.int64()), *raw], ["hash", "doc_id", "label", "n", "at", "value"])
+
+    made = materialise(chosen.mapInArrow(run, "hash long, doc_id long, label int, n long, at binary, value binary"), "examples")
+    read = in_bound(made, most)
+    free(made)
+    return [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(read["at"], read["value"], strict=True)], read["label"].to_numpy(float)
 
-    made = chosen.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toPandas()
-    made = made.sort_values(["doc_id", "label"], kind="stable")
-    examples = [(np.asarray(a, np.int64), np.asarray(v, np.float64)) for a, v in zip(made["at"], made["value"], strict=True)]
-    return Ftrl(SIZE, alpha=0.3).fit(examples, made["label"].to_numpy(float), epochs).weights()
 
+def fit(labelled: DataFrame, label: str = "quality", epochs: int = 3) -> np.ndarray:
+    """Weights from a bounded labelled sample; none labelled: zeros."""
+    rows, labels = examples(labelled, label)
+    return Ftrl(SIZE, alpha=0.3).fit(rows, labels, epochs).weights()
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
 
-def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
+def sample(labels: DataFrame, docs: DataFrame, names: list[str], rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """hash, doc_id, text and the named labels: the ids with the smallest hashes, one text each (the least). The side is bounded by rows, so it is broadcast.
 
-def sample(labels: DataFrame, docs: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, label of the rows with the smallest hashed ids: a bounded side, so it is broadcast."""
-    ids = labels.where(F.col(label).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).alias("label"))
-    ids = ids.groupBy("doc_id").agg(F.max("label").alias(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", label)
+    Rows with a null label or id are left out. Of labels that differ for one id the largest counts.
+    """
+    ids = labels.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), *[F.col(quoted(n)).alias(n) for n in names]).dropna()
+    ids = ids.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names]).select(F.xxhash64("doc_id").alias("hash"), "doc_id", *names)
+    ids = ids.orderBy("hash", "doc_id").limit(rows)
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    met = texts.join(F.broadcast(ids), "doc_id")
+    return met.groupBy("hash", "doc_id", *names).agg(F.min("text").alias("text")).select("hash", "doc_id", "text", *names)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: the sparse dot product of each text's features with the weights, through the logistic function.
 
-    Null text scores as empty. Rows that repeat an id are scored each.
+    Null text scores as empty. Rows that repeat an id are scored each. Other
+    columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** BITS numbers
 
@@ -110,11 +130,18 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             made = [float(sigmoid(w[at] @ value)) for at, value in map(features, part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs, from a fit on the rows that are not held out."""
-    train = sample(labels.where(~held_out()), docs, "quality", rows)
-    scored = score(docs, fit(train))
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted for each row of docs, from a fit on the rows that are not held out.
+
+    Null and empty texts score by their length alone; texts are read whole, in
+    the fit and in the scores; an empty table gives no row, and without labels
+    every score is 0.5. Rows that repeat an id are scored each, and count once
+    in the fit. Only doc_id, text and the label are read, whatever other columns
+    there are.
+    """
+    labelled = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
+    scored = score(docs, fit(sample(labelled, docs, ["quality"], rows)))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.llm import chat, exact_dedup, fingerprint, line_dedup, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
-from statuta.llm.common import read_table, spread
+from statuta.llm.common import read_table
+from statuta.plans.partitioning import read_spread
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(spread(read_table(spark, sf_dir, "documents")))
+    pieces = packing.pack(read_spread(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read_table(spark, sf_dir, "documents"))
+    docs = read_spread(spark, sf_dir, "documents")
     return toxicity.judge(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels")).drop("text")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.encode(spread(read_table(spark, sf_dir, "documents")))
+    coded = sentencepiece_codec.encode(read_spread(spark, sf_dir, "documents"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+        F.xxhash64("starts", "ends").alias("spans_xxhash64"),
     )
 
 
@@ -48,7 +50,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spread(read_table(spark, sf_dir, "documents")))
+    return simhash.near_duplicates(read_spread(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +63,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.dedup_substrings(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kept = substring_dedup.dedup_substrings(read_spread(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "labels"))
+    return quality.classify(read_spread(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import text_or_empty
+from statuta.llm.common import quoted, text_or_empty
 
 MARK = "▁"  # stands for a space in pieces
 CACHE = 250_000
@@ -99,13 +99,15 @@ class Normalizer:
             source = np.frombuffer(out, np.uint8)
             repeat = np.where(source == 32, 3, 1)
             out, places = out.replace(b" ", MARK.encode()), np.repeat(places, repeat)
+        end = len(data)
         if self.squeeze:
             mark = MARK.encode() if self.escape else b" "
             while out.endswith(mark):
+                end = places[-len(mark)]  # the last piece ends where the white space behind it begins
                 out, places = out[: -len(mark)], places[: -len(mark)]
             if not out:
                 return b"", np.zeros(1, np.int64)
-        return out, np.concatenate([places, [len(data)]])
+        return out, np.concatenate([places, [end]])
 
 
 class Codec:
@@ -193,8 +195,10 @@ def codec(name: str) -> Codec:
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, starts, ends (first and last-plus-one byte of each piece in the text's UTF-8), decoded: one row for each input row.
 
-    Null text is empty; empty text has no ids and decodes to "". Rows that
-    repeat an id are encoded each. Other columns are ignored.
+    Null text is empty; empty text has no ids and decodes to "". Texts are
+    encoded whole, whatever their length. Rows that repeat an id are encoded
+    each; an empty table gives no row. Other columns are ignored, whatever
+    their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,5 +211,5 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[k] for r in rows]), pa.int32())) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array([r[3] for r in rows], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.llm.common import materialise, text_or_empty
+from statuta.llm.common import free, materialise, packed, parts, unpacked
 
 GRAM = 8  # words in an anchor
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -168,7 +168,39 @@ def duplicate_windows(docs: DataFrame, width: int = 35) -> DataFrame:
     again = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("anchor", "window")
     again = materialise(again, "again")
     short_factors = windows.join(again, ["anchor", "window"]).select("doc_id", "text_key", "first", (F.col("first") + width).alias("end"))
-    return long_factors.union(short_factors).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"))
+    spans = long_factors.union(short_factors).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"))
+    spans = materialise(spans, "spans")
+    free(parsed, index, shared, wholes, mixed, windows, again)
+    return spans
+
+
+def judged(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (all columns of docs as a struct), spans, n_words, n_removed, kept_text; see dedup_substrings()."""
+    packed_rows = docs.select(packed(docs).alias("row"))
+    doc_id, text = F.col("row").getField(id_col).cast("long"), F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    spans = duplicate_windows(packed_rows.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")), width)
+    found = packed_rows.join(spans, doc_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_key")), "left").select("row", "spans")
+    place = [f.name for f in found.schema["row"].dataType.fields].index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in parts(batch, 64)):
+            counts, gone, kept = [], [], []
+            for text, spans in zip(part.column(0).field(place).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = _words(text or "")
+                at, removed, stay = 0, 0, []
+                for s in spans or ():
+                    if s["first"] > at:
+                        stay += words[at : s["first"]]
+                    removed += max(0, s["end"] - max(at, s["first"]))
+                    at = max(at, s["end"])
+                stay += words[at:]
+                counts.append(len(words))
+                gone.append(removed)
+                kept.append(b" ".join(stay).decode())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "spans", "n_words", "n_removed", "kept_text"])
+
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    return found.mapInArrow(cut, T.StructType([*found.schema.fields, *added]))
 
 
 def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,42 +208,13 @@ def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
 
     A word goes if a window of width words over it also starts anywhere else in
     the input, the same document included; all copies of a passage go. Words
-    are split at ASCII white space and compared unchanged. Null text has no
-    words. Rows that repeat an id are cut each; equal rows repeat one another.
-    Added columns replace columns of the same name.
+    are split at ASCII white space and compared unchanged. Null and empty texts
+    have no words; texts are read whole; an empty table stays empty. Rows that
+    repeat an id are cut each; equal rows repeat one another. Added columns
+    replace columns of the same name; no other name matters.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), text_or_empty(text_col).alias("text"))
-    spans = duplicate_windows(base, width)
-    rest = docs.drop("spans", "n_words", "n_removed", "kept_text", "_spans", "_id", "_key")
-    found = rest.join(
-        spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")),
-        F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")),
-        "left",
-    )
-    numbered = found.select(*[F.col(f"`{c}`") for c in rest.columns], F.col("_spans").alias("spans"))
-    place, into = rest.columns.index(text_col), numbered.columns.index("spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                counts, gone, kept = [], [], []
-                for text, spans in zip(part.column(place).to_pylist(), part.column(into).to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    at, removed, stay = 0, 0, []
-                    for s in spans or ():
-                        if s["first"] > at:
-                            stay += words[at : s["first"]]
-                        removed += max(0, s["end"] - max(at, s["first"]))
-                        at = max(at, s["end"])
-                    stay += words[at:]
-                    counts.append(len(words))
-                    gone.append(removed)
-                    kept.append(b" ".join(stay).decode())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], schema=batch.schema.append(pa.field("n_words", pa.int64())).append(pa.field("n_removed", pa.int64())).append(pa.field("kept_text", pa.string())))
-
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return numbered.mapInArrow(cut, T.StructType([*numbered.schema.fields, *added]))
+    made = judged(docs, width, id_col, text_col)
+    return made.select(*unpacked(made, "spans", "n_words", "n_removed", "kept_text"))
 
 
 ORACLE = r"""

@@ -1,5 +1,6 @@
 import hashlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from statuta.llm import fingerprint as fp
@@ -64,3 +65,55 @@ def test_cells_close_with_the_next_ones_first_row(spark, monkeypatch):
     docs = spark.createDataFrame([(i * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.edited_sha256 for r in fp.edit_fingerprints(docs).collect()}
     assert got == {i * i: hashlib.sha256(e.encode()).hexdigest() for i, e in enumerate(edit(texts))}
+
+
+def chained(*parts, seed=42):
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else (p & (2**64 - 1)).to_bytes(8, "little") if p.bit_length() > 31 or isinstance(p, Long) else p.to_bytes(4, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+class Long(int):
+    """A number that Spark holds in 64 bits."""
+
+
+def brute_signature(text):
+    """The signature from its definition, with plain lists: numbered k-mers, bins, the two least in text order."""
+    words = text.split(" ")
+    grams = [chained(*words[i : i + 3]) for i in range(len(words) - 2)] or [chained(*words)]
+    seen, numbered = {}, []
+    for place, g in enumerate(grams):
+        g >>= fp.PLACE_BITS
+        numbered.append((chained(Long(g), seen.get(g, 0)) >> fp.PLACE_BITS, place))
+        seen[g] = seen.get(g, 0) + 1
+    out = []
+    for b in range(-fp.BINS // 2, fp.BINS // 2):
+        own = sorted((h, p) for h, p in numbered if h >> (64 - fp.PLACE_BITS - 6) == b)[:2]
+        least = [Long(h) for h, _ in sorted(own, key=lambda x: x[1])]
+        out.append(chained(*least) & 0xFFFFFFFF if least else 0)
+    return out
+
+
+def brute_likeness(a, b):
+    return sum(x == y != 0 for x, y in zip(a, b, strict=True)) / max(1, sum(x != 0 or y != 0 for x, y in zip(a, b, strict=True)))
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    texts = [r.text or "" for r in rows]
+    own, edited = [brute_signature(t) for t in texts], [brute_signature(t) for t in edit(texts)]
+    as_hex = lambda s: "".join(f"{v:08x}" for v in s)
+    got = {r.doc_id: r for r in QUERIES["op10_fingerprint"](spark, sf).collect()}
+    for i, r in enumerate(rows):
+        g = got[r.doc_id]
+        assert (g.fingerprint, g.edited_fingerprint) == (as_hex(own[i]), as_hex(edited[i]))
+        assert abs(g.near_edited - brute_likeness(own[i], edited[i])) < 1e-12
+        assert abs(g.near_next - brute_likeness(own[i], own[(i + 1) % len(own)])) < 1e-12
+
+
+def test_long_text_through_the_operator(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fp.edit_fingerprints(docs).collect()}
+    assert got[1].near_next > 0.95 and 0 < got[1].near_edited < 0.6 and got[3].n_chars == 1

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from statuta.llm import shingle_dedup
+from statuta.llm import shingle_sets, simhash
 from tests.llm.test_simhash import brute_fingerprint
 
 
@@ -64,4 +64,17 @@ def test_one_row_of_each_group_stays(spark):
 def test_nothing_to_link(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 2
-    assert shingle_dedup.one_of_each(docs.limit(0)).count() == 0
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_similar_pairs_are_within_the_loose_bound():
+    rng = random.Random(8)
+    far = 0
+    for n in [5, 10, 50, 400]:
+        for _ in range(300):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+            a = shingle_sets.shingle_set(" ".join(words))
+            b = shingle_sets.shingle_set(" ".join(words[: -max(1, n // 5)] if n >= 5 else words))
+            if 5 * len(b) >= 4 * len(a):
+                far = max(far, bin((shingle_sets.bits(a) ^ shingle_sets.bits(b)) & (2**64 - 1)).count("1"))
+    assert 4 < far <= simhash.LOOSE

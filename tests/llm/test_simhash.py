@@ -1,9 +1,13 @@
+import os
+import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from statuta.llm import simhash
+from statuta.llm.common import materialise, shared_dir
 
 
 def brute_fingerprint(text):
@@ -37,9 +41,8 @@ def test_fingerprints_match_brute_force():
     assert simhash.fingerprint(long) == brute_fingerprint(long)
 
 
-def test_links_match_brute_force(spark):
-    import random
-
+@pytest.mark.parametrize("spare", [2, 3, 4])
+def test_links_match_brute_force(spark, spare):
     rng = random.Random(5)
     fps, centre = {}, rng.getrandbits(64)
     for i in range(400):
@@ -51,7 +54,7 @@ def test_links_match_brute_force(spark):
             fps[i] = fps[rng.randrange(i)] ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 7))})
     fps = {i: f & (2**64 - 1) for i, f in fps.items()}
     distinct = spark.createDataFrame([(simhash._signed(f),) for f in set(fps.values())], "fp long")
-    found = {r.fp & (2**64 - 1): r.component for r in simhash.link_fingerprints(distinct).collect()}
+    found = {r.fp & (2**64 - 1): r.component for r in simhash.link_fingerprints(distinct, 4, spare).collect()}
     want = brute_components(fps)
     groups, got = {}, {}
     for i, f in fps.items():
@@ -77,3 +80,27 @@ def test_query_matches_brute_force(spark):
     want = brute_components(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op5_simhash"](spark, sf).collect()}
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
+
+
+def test_intermediates_are_deleted(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(40)], "doc_id long, text string")
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    made = simhash.near_duplicates(docs)
+    left = {x.rsplit("-", 5)[0] if x.count("-") > 1 else x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert made.count() == 40
+    assert left <= {"fingerprints", "classes", "parts"}
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+    assert materialise(spark.range(3), "x").count() == 3

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -52,18 +53,67 @@ def test_normalizer_follows_the_compiled_character_map():
                 assert len(places) == len(norm) + 1 and (np.diff(places) >= 0).all()
 
 
+def own_spans(model, text):
+    """First and last-plus-one byte of each piece by the library, whose spans of the bytes of one character are set apart."""
+    out, size = [], len(text.encode())
+    pieces = model.encode(text, return_type="proto").pieces
+    for p in pieces:
+        out.append((out[-1][1] if out else 0, min(size, (out[-1][1] if out else 0) + 1)) if p.piece.startswith("<0x") else (p.begin, p.end))
+    return out
+
+
 def test_sentencepiece_query(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    import hashlib
-
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    library = {i: own_spans(model, t) for i, t in texts.items()}
+    told = spark.createDataFrame([(i, [a for a, _ in s], [b for _, b in s]) for i, s in library.items()], "doc_id long, starts array<int>, ends array<int>")
+    spans = {r.doc_id: r.h for r in told.select("doc_id", F.xxhash64("starts", "ends").alias("h")).collect()}
     for r in QUERIES["op3_sentencepiece"](spark, SF).collect():
         ids = model.encode(texts[r.doc_id])
         assert r.n_tokens == len(ids) and r.n_bytes == len(texts[r.doc_id].encode())
+        assert r.spans_xxhash64 == spans[r.doc_id]
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
 
 
+def test_codec_with_a_character_map(tmp_path):
+    """The same pieces behind the normaliser of another rule: ids, spans and decoded text as the library gives them."""
+    for rule in ("nmt_nfkc", "nfkc_cf"):
+        normalizer, proto = pb.ModelProto(), pb.ModelProto()
+        normalizer.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+            proto.ParseFromString(f.read())
+        proto.normalizer_spec.precompiled_charsmap = normalizer.normalizer_spec.precompiled_charsmap
+        proto.normalizer_spec.remove_extra_whitespaces = rule == "nmt_nfkc"
+        path = tmp_path / f"{rule}.model"
+        path.write_bytes(proto.SerializeToString())
+        own = codec.Codec(str(path))
+        assert own.normalize.map.units and not own.split
+        for t in ["ﬁne  ㌔ Ⅷ ｶﾞ  x ", " é́ ①② ½", "Ａ full  width", *ODD]:
+            if "\0" in t:
+                continue
+            ids, starts, ends, decoded = own.encode(t)
+            want = own.model.encode(t, return_type="proto").pieces
+            assert list(ids) == [p.id for p in want], (rule, t)
+            assert decoded == own.model.decode(list(map(int, ids)))
+            for a, b, p in zip(starts, ends, want, strict=True):
+                if not p.piece.startswith("<0x"):
+                    assert (a, b) == (p.begin, p.end), (rule, t, p.piece)
+
+
+def test_long_text_is_encoded_whole():
+    own = codec.codec("piece_bpe_32k.model")
+    text = " ".join(f"word{i % 977} été\n" for i in range(60_000))
+    ids, starts, ends, decoded = own.encode(text)
+    assert list(ids) == own.model.encode(text) and decoded == text and ends[-1] == len(text.encode())
+
+
+def test_packing_depends_on_neither_files_nor_cores(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = [sorted(map(tuple, packing.pack(d).select("doc_id", "start", "length", "sequence_id", "offset").collect())) for d in (docs, docs.repartition(7), docs.orderBy("source").coalesce(1))]
+    assert made[0] == made[1] == made[2]
+
+
 def test_sentencepiece_cases(spark):
     docs = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (2, "a b"), (2, "a b")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = codec.encode(docs).collect()
