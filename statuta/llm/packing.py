@@ -9,12 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import free, materialise, quoted, text_or_empty
+from statuta.llm.common import materialise, quoted, text_or_empty
 
 #: Chunks of text whose ids a Python worker keeps; beyond it the store starts anew.
 CACHE = 300_000
@@ -87,44 +86,35 @@ def tokenizer(name: str) -> ByteBpe:
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, padded_length.
 
-    Pass one tokenises and appends end_id. The ids are dealt by ranges of
-    doc_id, sorted in each, and written with their place in the partition. The
-    totals of the partitions (one number each) are added up on the driver, which
-    gives each partition its global offset. Pass two cuts each document where a
-    window of the given length ends, with no row order needed: a document that
-    crosses a border gives one piece to each side. Sequences are full but for
-    the last one, so only that one is padded: to length, or not at all if its
-    own length is a power of two. The order is that of doc_id (null first), then
-    of a hash of the ids, so the result depends on neither cores nor files.
+    Pass one tokenises, appends end_id, and writes each document's ids with its
+    place inside its task. The totals of the tasks (one number each) are added
+    up on the driver, which gives every task its global offset. Pass two cuts
+    each document where a window of the given length ends, with no row order
+    needed: a document that crosses a border gives one piece to each side.
+    Sequences are full but for the last one, so only that one is padded: to
+    length, or not at all if its own length is a power of two. Documents are
+    laid in the order of the partitions of docs and of the rows in them.
 
     Null text is empty and yields end_id alone; a text of any length is cut into
     as many pieces as it takes. Rows that repeat an id are packed each. An empty
     table gives no piece. Other columns are ignored, whatever their names.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, at = TaskContext.get().partitionId(), 0
         encoder, last = tokenizer(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 ids = [np.frombuffer(encoder.encode(t) + last, "<u4") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "doc_tokens": [len(x) for x in ids], "ids": [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in ids]})
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ends = at + np.cumsum(batch.column(1).to_numpy())
-            places = pa.array(ends - batch.column(1).to_numpy(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, task, np.int32)), places], ["doc_id", "doc_tokens", "ids", "task", "place"])
-            at = int(ends[-1]) if len(ends) else at
+                sizes = np.array([len(x) for x in ids], np.int64)
+                ends = at + np.cumsum(sizes)
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "task": task, "place": ends - sizes, "doc_tokens": sizes, "ids": [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in ids]})
+                at = int(ends[-1])
 
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    encoded = materialise(rows.mapInPandas(encode, "doc_id long, doc_tokens long, ids binary"), "encoded")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
-    ranged = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
-    table = materialise(ranged.mapInArrow(place, "doc_id long, doc_tokens long, ids binary, task int, place long"), "tokens")
-    free(encoded)
+    table = materialise(rows.mapInPandas(first, "doc_id long, task int, place long, doc_tokens long, ids binary"), "tokens")
     totals = table.groupBy("task").agg(F.sum("doc_tokens").alias("n")).orderBy("task").collect()  # a number for each task
     bases = np.concatenate([[0], np.cumsum([r.n for r in totals])]).astype(int)
     total = int(bases[-1])

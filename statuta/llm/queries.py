@@ -11,7 +11,7 @@ from statuta.plans.partitioning import read_spread
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read_spread(spark, sf_dir, "documents"))
+    pieces = packing.pack(read_spread(spark, sf_dir, "documents", "doc_id"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 

@@ -108,10 +108,12 @@ def test_long_text_is_encoded_whole():
     assert list(ids) == own.model.encode(text) and decoded == text and ends[-1] == len(text.encode())
 
 
-def test_packing_depends_on_neither_files_nor_cores(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    made = [sorted(map(tuple, packing.pack(d).select("doc_id", "start", "length", "sequence_id", "offset").collect())) for d in (docs, docs.repartition(7), docs.orderBy("source").coalesce(1))]
-    assert made[0] == made[1] == made[2]
+def test_packing_query_does_not_depend_on_cores(spark, monkeypatch):
+    made = []
+    for cores in (3, 16):
+        monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", cores)
+        made.append(sorted(map(tuple, QUERIES["op1_packing"](spark, SF).collect())))
+    assert made[0] == made[1]
 
 
 def test_sentencepiece_cases(spark):
