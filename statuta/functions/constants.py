@@ -12,18 +12,18 @@ TONE_MARKS = {
     "ùy": "uỳ", "úy": "uý", "ủy": "uỷ", "ũy": "uỹ", "ụy": "uỵ", "Ủy": "Uỷ",
 }
 
-# Abbreviations that keep their stops and marks.
+# Abbreviations that keep their stops and marks. BT. is meant without the invisible mark that its source holds before it.
 ABBREVIATIONS = """
-Co. Corp. D.C Dr. GD-ĐT GD.ĐT GS.BS GS.KTS GS.TS GS.TSKH GS.Ts GS.VS Gs.Bs Gs.Kts Gs.TSKH Gs.Ts Gs.Tskh Gs.Vs HA.GL
-HN.ACB HN.T&T Inc. KTS.TS Kts.Ts Ltd. M.City M.U MISS. MR. MRS. MS. Man.City Man.United Man.Utd Miss. Mr. Mrs. Ms. N.O.V.A
-Ng. O.T.C PGS-TS PGS.BS PGS.KTS PGS.TS PGS.Ts PGs.Bs PGs.Kts PGs.Ts Prof. R.Madrid S.H.E SG.XT SHB.ĐN SL.NA St. T&T
-T&T.HN T.O.P T.T.P T.W T.Ư TBT. BT. TMN.CSG TP. TS.BS TT. Th. Th.S ThS.BS Ths.Bs Tp. Ts.Bs U.S U.S.A V.I.P Yahoo! ĐH.QGHN ĐT.LA
+M.City V.I.P PGS.Ts MRS. Mrs. Man.United Mr. SHB.ĐN Gs.Bs U.S.A TMN.CSG Kts.Ts R.Madrid Tp. T.Ư D.C Gs.Tskh PGS.KTS GS.BS KTS.TS
+PGS-TS Co. S.H.E Ths.Bs T&T.HN MR. Ms. T.T.P TT. TP. ĐH.QGHN Gs.Kts Man.Utd GD-ĐT T.W Corp. ĐT.LA Dr. T&T HN.ACB GS.KTS MS. Prof.
+GS.TS PGs.Ts PGS.BS BT. Ltd. ThS.BS Gs.Ts SL.NA Th.S Gs.Vs PGs.Bs T.O.P PGS.TS HN.T&T SG.XT O.T.C TS.BS Yahoo! Man.City MISS. HA.GL
+GS.Ts TBT. GS.VS GS.TSKH Ts.Bs M.U Gs.TSKH U.S Miss. GD.ĐT PGs.Kts St. Ng. Inc. Th. N.O.V.A
 """.split()
 
 # Words with digits or marks that stay whole.
 EXCEPTIONS = """
-16+ 17+ 18+ 21+ 3G 3g 4G 4K 4g 4s 5G 5g 5s 6+ 6s 8K E9 G3 G4 Geun-hye Jong-un M7 M8 M9 U19 U21 U23 V-League WI-FI Wi-Fi
-Wi-fi Z1 Z2 Z3 Z3+ Z4 Z5 km/h km/s km2 km3 m/s m2 m3 u19 u21 u23 wi-fi
+Wi-fi 17+ km/h M7 M8 21+ G3 M9 G4 km3 m/s km2 5g 4G 8K 3g E9 U21 4K U23 Z1 Z2 Z3 Z4 Z5 Jong-un u19 5s wi-fi 18+ Wi-Fi m2 16+ m3
+V-League Geun-hye 5G 4g Z3+ 3G km/s 6+ u21 WI-FI u23 U19 6s 4s
 """.split()
 
 # The token patterns, in the order in which they are tried; digits and word characters are ASCII, letters and signs of money Unicode.
@@ -42,6 +42,7 @@ PATTERNS = {
     "number_expression": rf"{_NUMBER}([+\-*/]{_NUMBER})*",
     "number": _NUMBER,
     "hyphen_word": r"\p{L}+-\p{L}+(-\p{L}+)*",
+    # ⟨ ⟩ « » stand for marks that their source holds wrongly decoded.
     "punctuation": r",|\.|:|\?|!|;|-|_|\"|'|“|”|\||\(|\)|\[|\]|\{|\}|⟨|⟩|«|»|\\|/|‘|’|…|·",
     "special_char": r"~|@|#|\^|&|\*|\+|-|–|<|>|\|",
     "all_caps": r"[A-Z]+\.[A-Z]+",

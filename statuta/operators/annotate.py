@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """sent_id, id, word, pos, ner, head, deprel, sentence from text files of six tab-separated columns, a blank line behind each sentence.
+
+    `_` stands for what is missing. Sentences are numbered in each file; sentence
+    is the words joined by spaces.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
+    blocks = whole.select("path", F.posexplode(F.split("v", r"\n\s*\n")).alias("sent_id", "block")).where("trim(block) <> ''")
+    lines = blocks.select("path", "sent_id", F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    cut = lambda x, k: F.get(F.split(x, "\t"), F.lit(k))
+    known = lambda c: F.when(c != "_", c)
+    tokens = F.transform("lines", lambda x: F.struct(cut(x, 0).cast("int").alias("id"), cut(x, 1).alias("word"), known(cut(x, 2)).alias("pos"), known(cut(x, 3)).alias("ner"), known(cut(x, 4)).cast("int").alias("head"), known(cut(x, 5)).alias("deprel")))
+    made = lines.select("path", "sent_id", tokens.alias("tokens"))
+    return made.select("path", "sent_id", F.array_join(F.transform("tokens", lambda t: t["word"]), " ").alias("sentence"), "tokens")
+
+
+def from_annotations(spark: SparkSession, path: str) -> Factory:
+    """An annotator that looks sentences up in annotation files, made by a tool outside; a sentence that they lack is an error.
+
+    The files travel to every worker, so they are for a corpus whose annotations
+    fit there; larger ones are joined by sentence instead.
+    """
+    known = {r.sentence: [t.asDict() for t in r.tokens] for r in read_annotations(spark, path).collect()}
+    shared = spark.sparkContext.broadcast(known)
+    return lambda: shared.value.__getitem__
+
+
 def stub_annotator() -> Callable:
     """Stands in for a model: words in turn noun, verb, noun; the first verb is the root."""
 

@@ -6,36 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.functions.text import strip
+from statuta.sources.shared import free, materialise
 
-DEPTH = 5  # chapter, section, article, clause, point
 
+def ancestor_links(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """leaf_id, id, depth: each start (without starts, each row) with itself (depth 0) and all its ancestors, however many.
 
-def ancestor_chains(rows: DataFrame, starts: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
-    """leaf_id, depth (0: the row itself), and the columns of each row on the chain from a start up to its root.
-
-    The tree is shallow and of known depth, so the chain is that many equi-joins
-    on id, each of which appends a row to the chain of a start; a chain ends
-    where its parent is null or missing, a cycle with the depth. Ended chains
-    get keys of their own that match nothing, so that no task gathers them.
-    Without starts, every row is one.
+    Rows jump to their parents, then to their parents' parents, and so on, so
+    the number of joins grows with the logarithm of the depth. Each round takes
+    the ancestors so far a jump further up. A chain ends where its parent is
+    null or missing. In a cycle it ends before a row that it already has.
+    Jumps meet a hot parent on one side only, so AQE can split it.
     """
-    leaves = rows if starts is None else rows.join(starts.select("id").distinct(), "id", "left_semi")
-    one = lambda d: F.struct(F.lit(d).alias("depth"), *rows.columns)
-    chains = leaves.select(F.col("id").alias("leaf_id"), F.col("parent_id").alias("_up"), F.array(one(0)).alias("_chain"))
-    for d in range(1, depth):
-        above = rows.select(F.concat(F.lit("="), F.col("id").cast("string")).alias("_key"), F.col("parent_id").alias("_next"), one(d).alias("_row"))
-        keyed = chains.withColumn("_want", F.coalesce(F.concat(F.lit("="), F.col("_up").cast("string")), F.concat(F.lit("!"), F.col("leaf_id").cast("string"))))
-        grown = F.when(F.col("_row").isNull(), F.col("_chain")).otherwise(F.concat("_chain", F.array("_row")))
-        chains = keyed.join(above, keyed["_want"] == above["_key"], "left").select("leaf_id", F.col("_next").alias("_up"), grown.alias("_chain"))
-    return chains.select("leaf_id", F.explode("_chain").alias("_row")).select("leaf_id", "_row.*")
-
-
-def recursive_chains(rows: DataFrame, view: str = "_statuta_rows") -> DataFrame:
-    """The same as ancestor_chains() for trees of any depth, through a recursive query."""
-    rows.createOrReplaceTempView(view)
-    named = ", ".join(f"p.`{c}`" for c in rows.columns)
-    first = ", ".join(f"`{c}`" for c in rows.columns)
-    return rows.sparkSession.sql(f"WITH RECURSIVE c(leaf_id, depth, {first}) AS (SELECT id, 0, {first} FROM {view} UNION ALL SELECT c.leaf_id, c.depth + 1, {named} FROM c JOIN {view} p ON p.id = c.parent_id) SELECT * FROM c")
+    ids = rows.select("id").where("id IS NOT NULL").distinct()
+    up = rows.where("id IS NOT NULL AND parent_id IS NOT NULL").select("id", "parent_id").join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+    jump = materialise(up.select("id", F.col("parent_id").alias("to")), "jump")
+    leaves = ids if starts is None else ids.join(starts.select("id").distinct(), "id", "left_semi")
+    found = materialise(leaves.select(F.col("id").alias("leaf_id"), "id", F.lit(0).alias("depth")), "chains")
+    step, size, cyclic = 1, found.count(), False
+    while not jump.isEmpty():
+        further = found.join(jump, "id").select("leaf_id", F.col("to").alias("id"), (F.col("depth") + step).alias("depth"))
+        longer = found.union(further)
+        if cyclic:
+            longer = longer.groupBy("leaf_id", "id").agg(F.min("depth").alias("depth"))
+        longer = materialise(longer, "chains")
+        free(found)
+        found = longer
+        if not cyclic and not jump.where("id = to").isEmpty():
+            cyclic = True  # a row that is its own ancestor; from here on the nearest of each counts
+            once = materialise(found.groupBy("leaf_id", "id").agg(F.min("depth").alias("depth")), "chains")
+            free(found)
+            found = once
+        grown = found.count()
+        if grown == size:
+            break
+        further_jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
+        again = materialise(further_jump, "jump")
+        free(jump)
+        jump, size, step = again, grown, 2 * step
+    free(jump)
+    return found
+
+
+def ancestor_chains(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """leaf_id, depth (0: the row itself), and the columns of each row on the chain from a start up to its root; see ancestor_links()."""
+    links = ancestor_links(rows, starts)
+    return links.join(rows, "id").select("leaf_id", "depth", *rows.columns)
 
 
 def context_texts(chains: DataFrame) -> DataFrame:

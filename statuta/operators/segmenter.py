@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
 
 from statuta.functions.constants import TONE_MARKS
-from statuta.operators.tokenizer import join_tokens, split_sentences, tokenize
+from statuta.operators.tokenizer import by_text, join_tokens, split_sentences, tokenize
 
 #: The ten things that a rule can ask about, as offsets from the word it judges.
 SLOTS = {"tag": 0, "word": 0, "prevTag1": -1, "prevWord1": -1, "prevTag2": -2, "prevWord2": -2, "nextTag1": 1, "nextWord1": 1, "nextTag2": 2, "nextWord2": 2}
+#: Of each: whether it is a tag, the offset, what stands beyond the edge of the sentence.
+_SOURCES = {name: ("tag" in name.lower(), step, "<T>" if "tag" in name.lower() else "<W>") for name, step in SLOTS.items()}
 
 
 @dataclass(frozen=True)
@@ -71,14 +71,49 @@ def parse_rules(lines) -> list[Rule]:
     return top
 
 
-def _corrected(rules: list[Rule], context: dict[str, str]) -> str | None:
-    """The last conclusion on the way down: at each level the first rule that holds, then its exceptions."""
-    out = None
-    while True:
-        hit = next((r for r in rules if all(context[k] == v for k, v in r.conditions.items())), None)
-        if hit is None:
-            return out
-        out, rules = hit.conclusion, hit.children
+def slot_value(slot: str, at: int, tags: list[str], words: list[str]) -> str:
+    """What a rule that asks for a slot is told of the word at a place."""
+    source, step, edge = _SOURCES[slot]
+    row, k = tags if source else words, at + step
+    return row[k] if 0 <= k < len(row) else edge
+
+
+def contexts(text: Column, lexicon: Lexicon) -> Column:
+    """array<string>: for each syllable of a text, the values of all slots (see SLOTS) before any rule, parted by tabs."""
+
+    def one(t: str | None) -> list[str]:
+        syllables = (t or "").split()
+        tags, words = first_guess(syllables, lexicon), [s.lower() for s in syllables]
+        return ["\t".join(slot_value(slot, i, tags, words) for slot in SLOTS) for i in range(len(words))]
+
+    return by_text(one)(text)
+
+
+class Ladder:
+    """Rules of one level, found by the value that their first condition asks for; exceptions hang below."""
+
+    def __init__(self, rules: list[Rule]):
+        self.by: dict[str, dict[str, list[tuple[int, tuple, str, Ladder]]]] = {}
+        for k, rule in enumerate(rules):
+            (slot, value), *rest = rule.conditions.items() or [("", "")]
+            self.by.setdefault(slot, {}).setdefault(value, []).append((k, tuple(rest), rule.conclusion, Ladder(rule.children)))
+
+    def first(self, value: Callable[[str], str]):
+        """The first rule, in order, that holds: its conclusion and its exceptions."""
+        best = None
+        for slot, values in self.by.items():
+            for found in values.get(value(slot) if slot else "", ()):
+                if (best is None or found[0] < best[0]) and all(value(k) == v for k, v in found[1]):
+                    best = found
+                    break
+        return best
+
+    def judge(self, value: Callable[[str], str]) -> str | None:
+        """The last conclusion on the way down: at each level the first rule that holds, then its exceptions."""
+        out, level = None, self
+        while (hit := level.first(value)) is not None:
+            out, level = hit[2], hit[3]
+        return out
 
 
 def _name_run(syllables: list[str], at: int) -> int:
@@ -113,37 +148,39 @@ def first_guess(syllables: list[str], lexicon: Lexicon) -> list[str]:
     return tags
 
 
-def segment(sentence: str, lexicon: Lexicon, rules: list[Rule]) -> str:
+def segment(sentence: str, lexicon: Lexicon, rules: list[Rule] | Ladder) -> str:
     """A sentence of tokens joined by spaces, with the syllables of a word joined by underscores; blank: a line feed."""
     sentence = sentence.strip()
     if not sentence:
         return "\n"
     for old, new in TONE_MARKS.items():
-        sentence = sentence.replace(old, new)
+        if old in sentence:
+            sentence = sentence.replace(old, new)
     syllables = sentence.split()
     tags = first_guess(syllables, lexicon)
-    words = [s.lower() for s in syllables]
-    out = ""
-    for i, s in enumerate(syllables):
-        context = {}
-        for slot, step in SLOTS.items():
-            source, edge = (tags, "<T>") if slot.lower().rstrip("12").endswith("tag") else (words, "<W>")
-            context[slot] = source[i + step] if 0 <= i + step < len(source) else edge
-        tag = _corrected(rules, context) or tags[i]
-        out += (" " if tag == "B" else "_") + s
-    return out.strip()
+    ladder = rules if isinstance(rules, Ladder) else Ladder(rules)
+    if ladder.by:
+        words, guess = [s.lower() for s in syllables], tags
+        tags = [ladder.judge(lambda slot, i=i: slot_value(slot, i, guess, words)) or guess[i] for i in range(len(words))]
+    return "".join((" " if tag == "B" else "_") + s for s, tag in zip(syllables, tags, strict=True))[1:]
 
 
-def segment_text(text: str | None, lexicon: Lexicon, rules: list[Rule]) -> list[str]:
-    """The segmented sentences of a text."""
-    return [segment(join_tokens(s), lexicon, rules) for s in split_sentences(tokenize(text))]
+def segment_text(text: str | None, lexicon: Lexicon, rules: list[Rule] | Ladder, most: int | None = None) -> list[str]:
+    """The segmented sentences of a text, no more than `most`."""
+    return [segment(join_tokens(s), lexicon, rules) for s in split_sentences(tokenize(text), most)]
 
 
 def segmented(text: Column, lexicon: Lexicon, rules: list[Rule]) -> Column:
     """array<string> of segmented sentences. Word lists and rules travel with the function, once for each Python worker."""
+    ladder = Ladder(rules)
+    return by_text(lambda t: segment_text(t, lexicon, ladder))(text)
+
+
+def rules_of(lines: DataFrame, number: str = "line_no", value: str = "value") -> list[Rule]:
+    """The rules of a rule file (see files.numbered_lines): a few thousand lines, which every worker needs whole."""
+    return parse_rules([r[value] for r in lines.orderBy(number).select(value).collect()])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: segment_text(t, lexicon, rules))
 
-    return run(text)
+def lexicon_of(entries: DataFrame) -> Lexicon:
+    """The lexicon of word lists (kind, entry; see files.word_lists), which every worker needs whole."""
+    return Lexicon.from_rows([(r.kind, r.entry) for r in entries.select("kind", "entry").distinct().collect()])

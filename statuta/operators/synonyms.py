@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from statuta.functions.text import after_first, before_first, move_tone_marks, strip, synonym_form
 
-#: A synonym table up to this many bytes is broadcast; a larger one joins by shuffle.
-BROADCAST_BYTES = 64 << 20
-
 
 def parse_synonyms(lines: DataFrame, number: str = "line_no", value: str = "value", tone_marks: bool = False) -> DataFrame:
     """term, key from lines `KEY#word,word`; later lines and words override earlier ones. Lines that are blank or have no # are skipped."""
@@ -21,9 +18,7 @@ def parse_synonyms(lines: DataFrame, number: str = "line_no", value: str = "valu
 
 
 def canonical(rows: DataFrame, column: str, synonyms: DataFrame) -> DataFrame:
-    """rows with column replaced by its synonym's key, or left as it is."""
+    """rows with column replaced by its synonym's key, or left as it is. Spark broadcasts the table if its measured size allows (spark.sql.autoBroadcastJoinThreshold)."""
     table = synonyms.select(F.col("term").alias("_term"), F.col("key").alias("_key"))
-    if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
-        table = F.broadcast(table)
     joined = rows.join(table, rows[column] == table["_term"], "left")
     return joined.withColumn(column, F.coalesce("_key", column)).drop("_term", "_key")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ _END = regex.compile(SENTENCE_END)
 _KEPT = {"abbreviation": frozenset(ABBREVIATIONS), "exception": frozenset(EXCEPTIONS)}
 # Where several stand in a token, the longest one is cut out, then the first in order of code points.
 _INSIDE = {kind: sorted(words, key=lambda w: (-len(w), w)) for kind, words in _KEPT.items()}
+#: First characters of tokens at which a sentence can end.
+_ENDS = frozenset(":.?!…")
 _QUOTES = ('"', "''")
 
 
@@ -111,41 +115,50 @@ def _goes_on(sentence: list[str], token: str, after: str) -> bool:
     return False
 
 
-def split_sentences(tokens: list[str]) -> list[list[str]]:
-    """Sentences as lists of tokens; what follows the last mark is one as well."""
+def split_sentences(tokens: list[str], most: int | None = None) -> list[list[str]]:
+    """Sentences as lists of tokens; what follows the last mark is one as well. No more than `most` are sought."""
     out: list[list[str]] = []
-    now: list[str] = []
+    start = 0
+    last = len(tokens) - 1
     for i, token in enumerate(tokens):
-        now.append(token)
-        rest = tokens[i + 1 : i + 3]
-        if not rest:
-            break
-        listed = token == ":" and len(rest) == 2 and ((rest[0][0].isdigit() and rest[1] == ".") or rest[1] == ",")
-        if listed or (_END.fullmatch(token) and not _goes_on(now, token, rest[0])):
-            out.append(now)
-            now = []
-    return [*out, now] if now else out
+        if token[0] not in _ENDS or i == last:
+            continue
+        after = tokens[i + 1]
+        listed = token == ":" and i + 1 < last and ((after[0].isdigit() and tokens[i + 2] == ".") or tokens[i + 2] == ",")
+        if listed or (_END.fullmatch(token) and not _goes_on(tokens[start : i + 1], token, after)):
+            out.append(tokens[start : i + 1])
+            start = i + 1
+            if len(out) == most:
+                return out
+    return [*out, tokens[start:]] if start < len(tokens) else out
 
 
 def join_tokens(tokens: list[str]) -> str:
     return " ".join(t for t in tokens if t and t != " ")
 
 
-def tokens(text: Column) -> Column:
-    """array<string> of a text column."""
+def _lists(rows: list[list[str]]) -> pa.Array:
+    """Lists of strings as one flat Arrow array."""
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for r in rows for x in r], pa.string()))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(tokenize)
 
-    return run(text)
+def by_text(f: Callable[[str | None], list[str]]) -> Callable[[Column], Column]:
+    """array<string> of a text column by f, over Arrow batches in slices."""
 
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        made = [_lists([f(t) for t in texts.slice(lo, 256).to_pylist()]) for lo in range(0, len(texts), 256)]
+        return pa.concat_arrays(made) if made else _lists([])
 
-def sentences(text: Column) -> Column:
-    """array<array<string>> of a text column."""
+    return run
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_sentences(tokenize(t)))
 
-    return run(text)
+def tokens(text: Column) -> Column:
+    """array<string> of a text column."""
+    return by_text(tokenize)(text)
+
+
+def sentences(text: Column) -> Column:
+    """array<string> of a text column: each sentence's tokens, which hold no white space, joined by spaces."""
+    return by_text(lambda t: [join_tokens(s) for s in split_sentences(tokenize(t))])(text)

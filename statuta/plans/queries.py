@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 from statuta.functions.constants import TONE_MARKS
-from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer
+from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer, triplets
 from statuta.operators.synonyms import canonical, parse_synonyms
 from statuta.plans import build_graph
 from statuta.plans.partitioning import read_spread
+from statuta.sources import files, sinks
+from statuta.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,22 +36,23 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers' orders as triplets: nation, market segment and order status, the order as the document."""
+    """Customers' orders as triplets: nation, market segment and order status, the order as the document; some have an empty status, some none."""
     o, c, n = _t(spark, sf, "orders"), _t(spark, sf, "customer"), _t(spark, sf, "nation")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    return joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_custkey").cast("string").alias("document_number"), F.col("n_name").alias("c1"), F.col("c_mktsegment").alias("r"), F.col("o_orderstatus").alias("c2"))
+    return joined.select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_custkey").cast("string").alias("document_number"), F.col("n_name").alias("c1"), F.col("c_mktsegment").alias("r"), F.when(F.col("o_orderkey") % 7 == 0, "").when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus")).alias("c2"))
 
 
 _TRIPLETS = """t AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(o_custkey AS VARCHAR) AS document_number,
          lower(trim(regexp_replace(n_name, '[_\\s]+', ' ', 'g'))) AS c1, lower(trim(regexp_replace(c_mktsegment, '[_\\s]+', ' ', 'g'))) AS r, lower(o_orderstatus) AS c2
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0
 )"""
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Node and edge support."""
     made = graph.build_triplets(_edges(spark, sf))
-    return graph.merge_nodes(graph.node_support(made)), graph.merge_edges(graph.edge_support(made))
+    return graph.node_support(made), graph.edge_support(made)
 
 
 def _names(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -90,11 +94,11 @@ def normalize_term(spark, sf):
 
 
 @_query(
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, line_no::INT AS line_no, line FROM l WHERE line <> ''"""
+    """WITH l AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF x <> ''] AS x FROM documents)
+SELECT doc_id, (generate_subscripts(x, 1) - 1)::INT AS line_no, unnest(x) AS line FROM l"""
 )
 def line_split(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
+    return _t(spark, sf, "documents").select("doc_id", F.posexplode(tx.non_empty_lines(F.col("text"))).alias("line_no", "line"))
 
 
 @_query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word")
@@ -141,8 +145,16 @@ def ancestor_chain(spark, sf):
 
 
 @_query(f"WITH RECURSIVE {_TREE} SELECT leaf_id, depth, id FROM c")
-def ancestor_chain_recursive(spark, sf):
-    return hierarchy.recursive_chains(_tree(spark, sf)).select("leaf_id", "depth", "id")
+def ancestor_links(spark, sf):
+    return hierarchy.ancestor_links(_tree(spark, sf)).select("leaf_id", "depth", "id")
+
+
+@_query(f"WITH RECURSIVE {_TREE} SELECT leaf_id, depth, id, title FROM c WHERE leaf_id IN (SELECT id FROM l WHERE title LIKE '%Điểm%' ORDER BY md5(id || '|3'), id LIMIT 5)")
+def sampled_chains(spark, sf):
+    """Some random rows at the level of points, with all their parents."""
+    tree = _tree(spark, sf)
+    points = graph.sample(tree.where(F.col("title").like("%Điểm%")).select("id"), ["id"], 5, 3)
+    return hierarchy.ancestor_chains(tree, points).select("leaf_id", "depth", "id", "title")
 
 
 @_query(
@@ -156,29 +168,36 @@ def context_assembly(spark, sf):
 
 
 def _law_lines(spark, sf) -> DataFrame:
-    """Each document's lines with markers in front, by their number, after a header."""
+    """Each document's lines with markers in front, by their number, after a header with boilerplate, a date and a title that breaks inside its line."""
     lines = _t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "body"))
     k = F.col("n")
-    mark = F.when(k % 7 == 0, F.concat(F.lit("Chương "), k.cast("string"))).when(k % 7 == 1, F.concat(F.lit("Điều "), k.cast("string"), F.lit(". "), "body")).when(k % 7 == 2, F.concat(F.lit("1. "), "body")).when(k % 7 == 3, F.concat(F.lit("a) "), "body")).otherwise(F.concat(F.lit("x "), "body"))
-    body = lines.select("doc", (k + 3).alias("line_no"), mark.alias("line"))
-    head = _t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(F.concat(F.lit("Số: "), F.col("doc_id").cast("string"), F.lit(" /QH")), F.lit("LUẬT"), F.concat(F.lit("Căn cứ "), "source"))).alias("line_no", "line"))
+    step, number = k % 8, k.cast("string")
+    mark = (
+        F.when(step == 0, F.concat(F.lit("Chương "), number))
+        .when(step == 1, F.concat(F.lit("Mục "), number))
+        .when(step == 2, F.concat(F.lit("Điều "), number, F.lit(". "), "body"))
+        .when(step == 3, F.concat(F.lit("1. "), "body"))
+        .when(step == 4, F.concat(F.lit("a) "), "body"))
+        .otherwise(F.concat(F.lit("x "), "body"))
+    )
+    body = lines.select("doc", (k + 5).alias("line_no"), mark.alias("line"))
+    told = [F.lit("QUỐC HỘI"), F.concat(F.lit("Số: "), F.col("doc_id").cast("string"), F.lit(" /QH")), F.lit("Hà Nội, ngày 2 tháng 9 năm 2020"), F.lit("LUẬT\nBẢO VỆ"), F.concat(F.lit("Căn cứ "), "source")]
+    head = _t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array(*told)).alias("line_no", "line"))
     return head.union(body)
 
 
-@_query("SELECT doc_id AS doc, doc_id || '/QH' AS so_hieu, 'LUẬT' AS title, 'Căn cứ ' || source AS content FROM documents")
+@_query("SELECT doc_id AS doc, doc_id || '/QH' AS so_hieu, 'LUẬT BẢO VỆ' AS title, 'Căn cứ ' || source AS content FROM documents")
 def law_header(spark, sf):
     return lawdoc.law_headers(_law_lines(spark, sf))
 
 
 @_query(
     r"""WITH l AS (SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS body FROM documents),
-k AS (SELECT doc, n, CASE n % 7 WHEN 0 THEN 'chapter' WHEN 1 THEN 'article' WHEN 2 THEN 'clause' WHEN 3 THEN 'point' END AS kind,
-  CASE WHEN n % 7 = 0 THEN NULL WHEN n % 7 < 4 THEN body ELSE 'x ' || body END AS said, n - n % 7 AS base FROM l),
-g AS (SELECT doc, base, least(n % 7, 3) AS step, string_agg(said, chr(10) ORDER BY n) AS content FROM k GROUP BY ALL),
-p AS (SELECT doc, step, content, doc || '/QH_Chương ' || base AS ch, '_Điều ' || (base + 1) AS art FROM g),
-r AS (SELECT CASE step WHEN 0 THEN 'chapter' WHEN 1 THEN 'article' WHEN 2 THEN 'clause' ELSE 'point' END AS kind,
-  CASE step WHEN 0 THEN ch WHEN 1 THEN ch || art WHEN 2 THEN ch || art || '_Khoản 1' ELSE ch || art || '_Khoản 1_Điểm a' END AS path,
-  CASE step WHEN 1 THEN ch WHEN 2 THEN ch || art WHEN 3 THEN ch || art || '_Khoản 1' END AS up, nullif(trim(regexp_replace(content, '\s+', ' ', 'g')), '') AS content FROM p)
+k AS (SELECT doc, n, CASE WHEN n % 8 < 2 THEN NULL WHEN n % 8 < 5 THEN body ELSE 'x ' || body END AS said, n - n % 8 AS base FROM l),
+g AS (SELECT doc, base, least(n % 8, 4) AS step, string_agg(said, chr(10) ORDER BY n) AS content FROM k GROUP BY ALL),
+p AS (SELECT doc, step, content, [doc || '/QH', 'Chương ' || base, 'Mục ' || (base + 1), 'Điều ' || (base + 2), 'Khoản 1', 'Điểm a'] AS names FROM g),
+r AS (SELECT ['chapter', 'section', 'article', 'clause', 'point'][step + 1] AS kind, array_to_string(names[1:step + 2], '_') AS path,
+  CASE WHEN step > 0 THEN array_to_string(names[1:step + 1], '_') END AS up, nullif(trim(regexp_replace(content, '\s+', ' ', 'g')), '') AS content FROM p)
 SELECT kind, path, sha256(path) AS id, sha256(up) AS parent_id, content FROM r"""
 )
 def law_hierarchy(spark, sf):
@@ -222,15 +241,15 @@ def synonym_join(spark, sf):
 
 @_query(
     f"""WITH {_TRIPLETS}, n AS (SELECT c1 AS name, document_id, document_number FROM t UNION ALL SELECT c2, document_id, document_number FROM t)
-SELECT name, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS document_id, array_to_string(list_sort(list(DISTINCT document_number)), ',') AS document_number FROM n GROUP BY name"""
+SELECT name, 0 AS part, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS document_id, array_to_string(list_sort(list(DISTINCT document_number)), ',') AS document_number FROM n GROUP BY name"""
 )
 def merge_nodes(spark, sf):
-    return _graph(spark, sf)[0].select("name", F.array_join("document_id", ",").alias("document_id"), F.array_join("document_number", ",").alias("document_number"))
+    return graph.merge_nodes(_graph(spark, sf)[0]).select("name", "part", F.array_join("document_id", ",").alias("document_id"), F.array_join("document_number", ",").alias("document_number"))
 
 
-@_query(f"WITH {_TRIPLETS} SELECT c1, r, c2, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS source_document_ids FROM t GROUP BY c1, r, c2")
+@_query(f"WITH {_TRIPLETS} SELECT c1, r, c2, 0 AS part, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS source_document_ids FROM t GROUP BY c1, r, c2")
 def merge_edges(spark, sf):
-    return _graph(spark, sf)[1].withColumn("source_document_ids", F.array_join("source_document_ids", ","))
+    return graph.merge_edges(_graph(spark, sf)[1]).withColumn("source_document_ids", F.array_join("source_document_ids", ","))
 
 
 @_query(f"WITH {_TRIPLETS} SELECT (SELECT count(DISTINCT name) FROM (SELECT c1 AS name FROM t UNION SELECT c2 FROM t)) AS n_nodes, (SELECT count(*) FROM (SELECT DISTINCT c1, r, c2 FROM t)) AS n_edges")
@@ -258,10 +277,10 @@ def relation_counts(spark, sf):
     return graph.counts_for(_graph(spark, sf)[1], _names(spark, ASKED))
 
 
-@_query(f"WITH {_TRIPLETS} SELECT relation, string_agg(subject || '>' || object, ',' ORDER BY subject, object) AS pairs FROM (SELECT DISTINCT r AS relation, c1 AS subject, c2 AS object FROM t WHERE r IN ('building', 'machinery')) GROUP BY relation")
+@_query(f"WITH {_TRIPLETS} SELECT relation, 0 AS part, string_agg(subject || '>' || object, ',' ORDER BY subject, object) AS pairs FROM (SELECT DISTINCT r AS relation, c1 AS subject, c2 AS object FROM t WHERE r IN ('building', 'machinery')) GROUP BY relation")
 def relation_groups(spark, sf):
     grouped = graph.group_by_relation(_graph(spark, sf)[1], _names(spark, ASKED))
-    return grouped.select("relation", F.array_join(F.transform("pairs", lambda p: F.concat(p["subject"], F.lit(">"), p["object"])), ",").alias("pairs"))
+    return grouped.select("relation", "part", F.array_join(F.transform("pairs", lambda p: F.concat(p["subject"], F.lit(">"), p["object"])), ",").alias("pairs"))
 
 
 @_query(
@@ -274,7 +293,7 @@ def pattern_match(spark, sf):
 
 @_query(
     f"""WITH {_TRIPLETS}, d AS (SELECT DISTINCT c1, r, c2, document_id FROM t)
-SELECT c1, r, c2, array_to_string(list_sort(list(document_id)), ',') AS source_document_ids FROM d GROUP BY c1, r, c2"""
+SELECT c1, r, c2, 0 AS part, array_to_string(list_sort(list(document_id)), ',') AS source_document_ids FROM d GROUP BY c1, r, c2"""
 )
 def incremental_merge(spark, sf):
     """Two batches that overlap, merged one after the other."""
@@ -291,14 +310,14 @@ def seeded_sample(spark, sf):
 
 
 @_query(
-    """WITH w AS (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS id, unnest(string_split(text, ' ')) AS word FROM benchmark)
+    r"""WITH w AS (SELECT item_id, generate_subscripts(ws, 1) AS id, lower(unnest(ws)) AS word FROM (SELECT item_id, regexp_split_to_array(text, '\s+') AS ws FROM benchmark))
 SELECT item_id, id::INT AS id, word, lag(word, 1, '<W>') OVER v AS p1, lag(word, 2, '<W>') OVER v AS p2, lead(word, 1, '<W>') OVER v AS n1, lead(word, 2, '<W>') OVER v AS n2 FROM w WINDOW v AS (PARTITION BY item_id ORDER BY id)"""
 )
 def tag_context(spark, sf):
-    words = F.split("text", " ")
-    at = lambda k: F.expr(f"if(i + {k} < 0 OR i + {k} >= size(ws), '<W>', get(ws, i + {k}))")
-    rows = _t(spark, sf, "benchmark").select("item_id", words.alias("ws")).select("item_id", "ws", F.explode(F.expr("sequence(0, size(ws) - 1)")).alias("i"))
-    return rows.select("item_id", (F.col("i") + 1).alias("id"), F.expr("get(ws, i)").alias("word"), at(-1).alias("p1"), at(-2).alias("p2"), at(1).alias("n1"), at(2).alias("n2"))
+    """What the segmenter's rules are told of each word."""
+    told = _t(spark, sf, "benchmark").select("item_id", F.posexplode(segmenter.contexts(F.col("text"), segmenter.Lexicon())).alias("i", "told"))
+    at = lambda slot: F.get(F.split("told", "\t"), F.lit(list(segmenter.SLOTS).index(slot)))
+    return told.select("item_id", (F.col("i") + 1).alias("id"), at("word").alias("word"), at("prevWord1").alias("p1"), at("prevWord2").alias("p2"), at("nextWord1").alias("n1"), at("nextWord2").alias("n2"))
 
 
 @_query(
@@ -307,8 +326,8 @@ p AS (SELECT *, CASE length(word) % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'V' WHEN 2 THE
 x AS (SELECT *, lag(pos) OVER v AS before, lead(pos) OVER v AS after FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY id))
 SELECT doc_id, count(*) FILTER (pos IN ('CH', 'E')) AS n_dropped, count(*) FILTER (pos = 'V' AND before LIKE 'N%' AND after LIKE 'N%') AS n_between_nouns FROM x GROUP BY doc_id"""
 )
-def triplet_flags(spark, sf):
-    """What the triplet rules read off a token and its neighbours, counted by document over stand-in tags."""
+def neighbour_tags(spark, sf):
+    """Tags by their neighbours, counted by document over stand-in tags, as columns; the triplet rules themselves are in triplet_product."""
     rows = _t(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     tags = rows.select("doc_id", F.expr("transform(ws, w -> CASE length(w) % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'V' WHEN 2 THEN 'CH' WHEN 3 THEN 'E' ELSE 'Np' END)").alias("pos"))
     return tags.select(
@@ -318,13 +337,18 @@ def triplet_flags(spark, sf):
     )
 
 
-@_query("SELECT a.n_name AS c1, r.r_name AS r, b.s_name AS c2 FROM nation a JOIN region r ON a.n_regionkey = r.r_regionkey JOIN supplier b ON b.s_nationkey = a.n_nationkey")
+@_query("SELECT DISTINCT a.n_name AS c1, r.r_name AS r, b.s_name AS c2 FROM nation a JOIN region r ON a.n_regionkey = r.r_regionkey JOIN supplier b ON b.s_nationkey = a.n_nationkey")
 def triplet_product(spark, sf):
-    """Groups of three roles, multiplied out by nested explodes."""
+    """The production rules on annotated sentences: a nation, its region as the verb, its suppliers as objects joined by a coordinator."""
     n, r, s = _t(spark, sf, "nation"), _t(spark, sf, "region"), _t(spark, sf, "supplier")
-    objects = s.groupBy("s_nationkey").agg(F.collect_list("s_name").alias("objects"))
-    groups = n.join(r, n.n_regionkey == r.r_regionkey).join(objects, n.n_nationkey == objects.s_nationkey).select(F.array("n_name").alias("subjects"), F.array("r_name").alias("relations"), "objects")
-    return groups.select(F.explode("subjects").alias("c1"), "relations", "objects").select("c1", F.explode("relations").alias("r"), "objects").select("c1", "r", F.explode("objects").alias("c2"))
+    objects = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_name")).alias("names"))
+    told = n.join(r, n.n_regionkey == r.r_regionkey).join(objects, n.n_nationkey == objects.s_nationkey)
+    words = F.expr("concat(array(n_name, r_name), slice(flatten(transform(names, x -> array('và', x))), 2, 2 * size(names) - 1))")
+    pos = F.expr("transform(words, (w, i) -> CASE WHEN i = 1 THEN 'V' WHEN w = 'và' THEN 'C' ELSE 'N' END)")
+    labels = F.expr("transform(words, (w, i) -> CASE i WHEN 0 THEN 'sub' WHEN 1 THEN 'root' ELSE 'dob' END)")
+    rows = told.select(words.alias("words")).select("words", pos.alias("pos"), F.expr("transform(words, w -> 2)").alias("heads"), labels.alias("labels"))
+    tokens = triplets.token_array(F.col("words"), F.col("pos"), F.col("heads"), F.col("labels"))
+    return rows.select(F.explode(triplets.extract(tokens)).alias("t")).select("t.c1", "t.r", "t.c2")
 
 
 @_query(
@@ -367,12 +391,26 @@ def tone_marks(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", tx.move_tone_marks(F.col("text")).alias("moved"))
 
 
-@_query("SELECT a.vec_id, max(round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6)) AS nearest FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
-def embedding_similarity(spark, sf):
-    """Extension: for each vector, its greatest cosine to another one of its label."""
+@_query("SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_cosine(spark, sf):
+    """Extension: the cosine of each vector and the one after it."""
     e = _t(spark, sf, "embeddings")
-    pairs = e.alias("a").join(e.alias("b"), F.expr("a.label = b.label AND a.vec_id <> b.vec_id"))
-    return pairs.select("a.vec_id", F.round(annotate.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("c")).groupBy("vec_id").agg(F.max("c").alias("nearest"))
+    pairs = e.alias("a").join(e.alias("b"), F.expr("b.vec_id = a.vec_id + 1"))
+    return pairs.select("a.vec_id", F.round(annotate.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
+
+
+@_query(
+    r"""WITH s AS (SELECT regexp_split_to_array(text, '\s+') AS ws FROM benchmark), w AS (SELECT array_to_string(ws, ' ') AS sentence, len(ws) AS n, generate_subscripts(ws, 1) AS id, unnest(ws) AS word FROM s),
+t AS (SELECT *, CASE WHEN NOT regexp_matches(word, '[\p{L}\p{N}]') THEN 'CH' WHEN id % 3 = 2 THEN 'V' ELSE 'N' END AS pos, CASE WHEN n > 1 THEN 2 ELSE 1 END AS root FROM w)
+SELECT sentence, id::INT AS id, word, pos, 'O' AS ner, (CASE WHEN id = root THEN 0 ELSE root END)::INT AS head,
+  CASE WHEN id = root THEN 'root' WHEN id < root THEN 'sub' WHEN pos = 'V' THEN 'conj' WHEN pos = 'CH' THEN 'punct' ELSE 'dob' END AS deprel FROM t"""
+)
+def annotation_files(spark, sf):
+    """Annotations written as text files of six columns, and read again."""
+    path = f"{shared_dir(spark).rstrip('/')}/annotations-{uuid.uuid4().hex}"
+    told = _t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("sent_id"), F.explode(annotate.annotated(F.col("text"), annotate.stub_annotator)).alias("t"))
+    sinks.write_annotations(told.select("doc_id", "sent_id", "t.*"), path)
+    return annotate.read_annotations(spark, path).select("sentence", F.explode("tokens").alias("t")).select("sentence", "t.*")
 
 
 @_query()
@@ -383,13 +421,18 @@ def tokenize_vi(spark, sf):
 @_query()
 def sentence_split(spark, sf):
     parts = read_spread(spark, sf, "documents").select("doc_id", tokenizer.sentences(F.col("text")).alias("s"))
-    return parts.select("doc_id", F.posexplode("s").alias("sent_id", "tokens")).select("doc_id", "sent_id", F.array_join("tokens", " ").alias("sentence"))
+    return parts.select("doc_id", F.posexplode("s").alias("sent_id", "sentence"))
 
 
 @_query()
 def segment_rdr(spark, sf):
-    lexicon = segmenter.Lexicon(words=frozenset({"of the", "in the", "die der"}))
-    rules = segmenter.parse_rules(["True", '\tobject.tag == "I" : object.conclusion = "I"', '\t\tobject.prevWord1 == "of" : object.conclusion = "B"'])
+    """Rules and word lists as a user keeps them, read from files."""
+    path = f"{shared_dir(spark).rstrip('/')}/segmenter-{uuid.uuid4().hex}"
+    lines = ["True", '\tobject.tag == "I" : object.conclusion = "I"', '\t\tobject.prevWord1 == "of" : object.conclusion = "B"']
+    for name, told in (("rules", lines), ("lists", ["words\tof the", "words\tin the", "words\tdie der"])):
+        spark.createDataFrame([("\n".join(told),)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    rules = segmenter.rules_of(files.numbered_lines(spark, f"{path}/rules"))
+    lexicon = segmenter.lexicon_of(files.word_lists(spark, f"{path}/lists"))
     return read_spread(spark, sf, "documents").select("doc_id", segmenter.segmented(F.col("text"), lexicon, rules).alias("sentences"))
 
 
@@ -411,8 +454,7 @@ def triplets_prod(spark, sf):
 @_query()
 def label_census(spark, sf):
     """The dependency labels that occur, over all provisions."""
-    told = build_graph.sentences_of(_laws(spark, sf), build_graph.Settings(sentence_scope="all")).select(F.explode(annotate.annotated(F.col("sentence"), annotate.stub_annotator)).alias("t"))
-    return told.select("t.deprel").distinct()
+    return build_graph.labels_of(_laws(spark, sf), build_graph.Settings(sentence_scope="all"))
 
 
 @_query()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.functions.text import not_blank
+from statuta.functions.text import not_blank, with_suffix
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -73,6 +73,23 @@ def extract_pages(files: DataFrame, pages: Callable[[bytes], list[str]]) -> Data
     return files.select("path", "content").mapInPandas(run, "path string, n_pages int, text string, has_text boolean, preview string, error string")
 
 
+def converted(files: DataFrame, convert: Callable[[bytes], bytes], suffix: str = ".docx") -> DataFrame:
+    """path (with another suffix), content, error of files by an injected converter of bytes (.doc to .docx, say). A file that fails gives its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((path, convert(bytes(content)), None))
+                except Exception as e:  # as above
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    made = files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
+    return made.select(with_suffix(F.col("path"), suffix).alias("path"), "content", "error")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, value of text files, numbered in each file."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))

@@ -60,3 +60,9 @@ def annotation_text(tokens: DataFrame, blank_between: bool = True) -> DataFrame:
     grouped = tokens.select("doc_id", "sent_id", F.struct("id", line.alias("line")).alias("x")).groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     text = F.array_join(F.transform("xs", lambda x: x["line"]), "\n")
     return grouped.select("doc_id", "sent_id", (F.concat(text, F.lit("\n")) if blank_between else text).alias("value"))
+
+
+def write_annotations(tokens: DataFrame, path: str, blank_between: bool = True) -> None:
+    """annotation_text() as text files, in order of document and sentence over all files."""
+    rows = annotation_text(tokens, blank_between)
+    rows.repartitionByRange("doc_id", "sent_id").sortWithinPartitions("doc_id", "sent_id").select("value").write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ def _kind(declared: str) -> T.DataType:
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
@@ -41,7 +42,10 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+            except sqlite3.OperationalError:  # a table WITHOUT ROWID or a view is read in one part
+                return [_Range(None, None)]
         if low is None:
             return [_Range(1, 0)]
         step = max(1, -(-(high - low + 1) // self.parts))
@@ -49,9 +53,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         columns = ", ".join(_quoted(f.name) for f in self.schema.fields)
-        where = " AND ".join(["rowid BETWEEN ? AND ?", *self.where])
+        ranged = partition.low is not None
+        where = " AND ".join([*(["rowid BETWEEN ? AND ?"] if ranged else ["1"]), *self.where])
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE {where}", [partition.low, partition.high, *self.args])
+            yield from db.execute(f"SELECT {columns} FROM {_quoted(self.table)} WHERE {where}", [*([partition.low, partition.high] if ranged else []), *self.args])
 
 
 class SqliteDataSource(DataSource):
@@ -66,16 +71,18 @@ class SqliteDataSource(DataSource):
             rows = db.execute(f"PRAGMA table_info({_quoted(self.options['dbtable'])})").fetchall()
         if not rows:
             raise ValueError(f"no table {self.options['dbtable']}")
-        return T.StructType([T.StructField(r[1], _kind(r[2])) for r in rows])
+        asked = json.loads(self.options.get("columns", "null"))
+        return T.StructType([T.StructField(r[1], _kind(r[2])) for r in rows if asked is None or r[1] in asked])
 
     def reader(self, schema):
         return _Reader(self.options["path"], self.options["dbtable"], schema, int(self.options.get("numpartitions", self.options.get("numPartitions", 8))))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str, parts: int = 8, columns: list[str] | None = None) -> DataFrame:
+    """A table, or the given columns of it: the others are then not read."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteDataSource)
-    return spark.read.format("statuta_sqlite").option("dbtable", table).option("numPartitions", parts).option("path", path).load()
+    return spark.read.format("statuta_sqlite").option("dbtable", table).option("numPartitions", parts).option("path", path).option("columns", json.dumps(columns)).load()
 
 
 def sqlite_tables(path: str) -> list[str]:

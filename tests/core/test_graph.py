@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from statuta.operators import graph
-from statuta.plans.build_graph import Settings, build, triplets_of
+from statuta.operators import annotate, graph
+from statuta.plans.build_graph import Settings, build, extracted, triplets_of
 from statuta.sources import files, sinks
 from statuta.sources.sqlite import read_sqlite, sqlite_tables
 from statuta.streaming import incremental
@@ -43,14 +43,15 @@ def test_order_and_repeats_do_not_matter(spark, rows, rng):
 
 def test_queries(spark):
     df = spark.createDataFrame(ROWS, KIND)
-    nodes, edges = graph.merge_nodes(graph.node_support(df)), graph.merge_edges(graph.edge_support(df))
+    nodes, edges = graph.node_support(df), graph.edge_support(df)
     assert tuple(graph.graph_counts(nodes, edges).first()) == (2, 2)
     assert tuple(graph.graph_counts(nodes.limit(0), edges.limit(0)).first()) == (0, 0)
     names = spark.createDataFrame([("s",), ("none",)], "name string")
     assert [tuple(r) for r in graph.triplets_for(edges, names).collect()] == [("s", "B", "B")]
     assert sorted(tuple(r) for r in graph.counts_for(edges, names).collect()) == [("none", 0), ("s", 1)]
     assert [r["name"] for r in graph.relation_names(edges).collect()] == ["r", "s"]
-    assert graph.sample(nodes, ["name"], 5).count() == 2
+    assert sorted(tuple(r) for r in graph.patterns(nodes, edges).collect()) == [("A", "r", "B", 2, 2), ("B", "s", "B", 2, 2)]
+    assert graph.sample(nodes.select("name").distinct(), ["name"], 5).count() == 2
     a = graph.sample(spark.range(100), ["id"], 7, 3).collect()
     assert a == graph.sample(spark.range(100).repartition(5), ["id"], 7, 3).collect() and len({r.id for r in a}) == 7
 
@@ -61,6 +62,75 @@ def test_building_drops_incomplete_and_normalises(spark):
     assert sorted(tuple(r) for r in got) == [("", "r", "c"), ("a b", "r", "c")]
 
 
+def test_hot_keys_are_exported_in_parts(spark):
+    rows = [(f"d{i}", f"n{i % 40}", "hot", "r", f"o{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, KIND)
+    parts = graph.merge_nodes(graph.node_support(df), most=25).where("name = 'hot'").collect()
+    assert len(parts) > 3 and max(len(p.document_id) for p in parts) < 100
+    assert sorted(d for p in parts for d in p.document_id) == sorted(r[0] for r in rows)
+    assert sorted(d for p in parts for d in p.document_number) == sorted({r[1] for r in rows})
+    edges = graph.merge_edges(graph.edge_support(df), most=25)
+    assert edges.count() > 3 and edges.selectExpr("explode(source_document_ids) AS d").count() == 300
+    names = spark.createDataFrame([("r",)], "name string")
+    pairs = graph.group_by_relation(graph.edge_support(df), names, most=1).selectExpr("explode(pairs) AS p")
+    assert sorted((r.p.subject, r.p.object) for r in pairs.collect()) == [("hot", f"o{k}") for k in range(3)]
+
+
+def test_single_triplet(spark):
+    nodes = spark.createDataFrame([("a", {"k": "1", "old": "x"})], "name string, properties map<string,string>")
+    edges = spark.createDataFrame([], "c1 string, r string, c2 string, properties map<string,string>")
+    for _ in range(2):
+        nodes, edges = graph.merge_triplet(nodes, edges, ("a", "r", "b"), {"k": "2"}, {"t": "3"}, {"w": "4"})
+    assert {r["name"]: r.properties for r in nodes.collect()} == {"a": {"old": "x", "k": "2"}, "b": {"t": "3"}}
+    assert [(r.c1, r.r, r.c2, r.properties) for r in edges.collect()] == [("a", "r", "b", {"w": "4"})]
+
+
+def test_a_document_that_fails_is_reported(spark):
+    def picky():
+        inner = annotate.stub_annotator()
+        return lambda sentence: 1 / 0 if "bad" in sentence else inner(sentence)
+
+    laws = spark.createDataFrame([("1", "n", "a b c"), ("2", "n", "bad b c"), ("3", "n", "d e f")], "id string, so_hieu string, content string")
+    settings = Settings(annotator=picky, sentence_scope="all")
+    assert sorted((r.document_id, r.error) for r in extracted(laws, settings).collect()) == [("1", None), ("2", "ZeroDivisionError: division by zero"), ("3", None)]
+    assert {r.document_id for r in triplets_of(laws, settings).collect()} == {"1", "3"}
+    assert build(laws, None, settings)[1].count() == 2
+
+
+def test_annotations_of_a_tool_outside(spark, tmp_path):
+    told = [("d", 0, i, w, p, None, h, x) for i, w, p, h, x in [(1, "cơ quan", "N", 2, "sub"), (2, "cấp", "V", 0, "root"), (3, "phép", "N", 2, "dob")]]
+    tokens = spark.createDataFrame(told, "doc_id string, sent_id int, id int, word string, pos string, ner string, head int, deprel string")
+    sinks.write_annotations(tokens, str(tmp_path / "a"))
+    read = annotate.read_annotations(spark, str(tmp_path / "a")).first()
+    assert read.sentence == "cơ quan cấp phép" and [t.head for t in read.tokens] == [2, 0, 2] and read.tokens[0].ner is None
+    laws = spark.createDataFrame([("1", "n", "Cơ quan cấp phép"), ("2", "n", "khác")], "id string, so_hieu string, content string")
+    settings = Settings(annotator=annotate.from_annotations(spark, str(tmp_path / "a")))
+    assert [(r.c1, r.r, r.c2) for r in triplets_of(laws, settings).collect()] == [("cơ quan", "cấp", "phép")]
+    assert extracted(laws, settings).where("error IS NOT NULL").first().document_id == "2"
+
+
+def test_tables(spark, tmp_path):
+    for name in ("laws", "law_refs"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    sinks.create_tables(spark)
+    sinks.create_tables(spark)
+    spark.sql("INSERT INTO laws VALUES ('1', 't', 'c', NULL, 'n')")
+    assert spark.table("laws").count() == 1 and spark.table("law_refs").columns == ["so_hieu", "title", "content"]
+    sinks.clear_tables(spark)
+    assert spark.table("laws").count() == 0
+    for name in ("laws", "law_refs"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_late_rows_are_counted_in_their_window(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "r"), ("2024-01-01 00:50:00", "r"), ("2024-01-01 01:10:00", "s")]
+    spark.createDataFrame(rows, "ts string, r string").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "r").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, r string").parquet(str(tmp_path / "in"))
+    query = incremental.late_counts(stream).writeStream.outputMode("complete").format("memory").queryName("late").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((str(r.start), r.r, r.n) for r in spark.table("late").collect()) == [("2024-01-01 00:00:00", "r", 2), ("2024-01-01 01:00:00", "s", 1)]
+
+
 def test_properties(spark):
     now = spark.createDataFrame([("a", {"x": "1", "y": "2"}), ("b", None)], "k string, properties map<string,string>")
     new = spark.createDataFrame([("a", {"y": "3"}), ("c", {"z": "4"})], "k string, properties map<string,string>")
@@ -86,7 +156,7 @@ def test_build(spark):
     rows = triplets_of(laws, Settings(sentence_scope="all"))
     assert {r.document_id for r in rows.collect()} == {"1", "None"}
     nodes, edges = build(laws, None, Settings())
-    assert edges.where("c1 = 'a' AND r = 'b' AND c2 = 'c'").first().source_document_ids == ["None"]
+    assert edges.where("c1 = 'a' AND r = 'b' AND c2 = 'c'").first().document_id == "None"
 
 
 def test_sqlite(spark, tmp_path):
@@ -100,7 +170,12 @@ def test_sqlite(spark, tmp_path):
     assert [r.id for r in laws.where(F.col("id") == "7").collect()] == ["7"]
     assert laws.where(F.col("title").contains("Điểm")).count() == 25
     assert read_sqlite(spark, path, "empty").count() == 0
-    assert sqlite_tables(path) == ["empty", "laws"]
+    assert read_sqlite(spark, path, "laws", columns=["id", "n"]).columns == ["id", "n"]
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+        db.execute("INSERT INTO keyed VALUES ('x', 1), ('y', 2)")
+    assert read_sqlite(spark, path, "keyed").where(F.col("k") == "y").first().v == 2
+    assert sqlite_tables(path) == ["empty", "keyed", "laws"]
 
 
 def test_files(spark, tmp_path):
@@ -118,6 +193,10 @@ def test_files(spark, tmp_path):
     assert sum(r.error is not None for r in rows) == 1
     pages = files.extract_pages(found, lambda b: ["one", "two"] if b[:2] == b"PK" else 1 / 0).collect()
     assert sorted((r.n_pages, r.text, r.has_text) for r in pages if r.error is None) == [(2, "one\ntwo", True)]
+    (tmp_path / "old.doc").write_bytes(b"old")
+    made = files.converted(files.find_documents(spark, str(tmp_path)).where("path LIKE '%.doc'"), lambda b: b.upper()).first()
+    assert made.path.endswith("old.docx") and bytes(made.content) == b"OLD" and made.error is None
+    assert files.converted(found, lambda b: 1 / 0).where("error IS NULL").count() == 0
     (tmp_path / "s.txt").write_text("a\r\n\nb\n")
     assert [(r.line_no, r.value) for r in files.numbered_lines(spark, str(tmp_path / "s.txt")).collect()] == [(0, "a"), (1, ""), (2, "b")]
     assert files.annotator_lines(spark, str(tmp_path / "s.txt")).count() == 2

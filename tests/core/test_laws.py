@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from statuta.operators import hierarchy, lawdoc
 
 LINES = ["QUỐC HỘI", "Số: 92/2015/QH13", "BỘ LUẬT", "TỐ TỤNG", "Căn cứ Hiến pháp", "Chương I", "QUY ĐỊNH CHUNG", "Mục 1", "PHẠM VI", "Điều 1. Phạm vi điều chỉnh", "1. Bộ luật này", "a) Nội dung;", "tiếp theo", "Điều 2. Đối tượng"]
@@ -74,7 +76,7 @@ def test_chains(spark):
     texts = {r.leaf_id: (r.context, r.id) for r in hierarchy.context_texts(chains).collect()}
     assert texts == {"3": ("Chương I Khoản 1 Điểm a C\n", "3"), "4": ("Điều 4 ", "4")}
     tree = rows.where("id <> '5'")
-    assert sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.recursive_chains(tree).collect()) == sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.ancestor_chains(tree).collect())
+    assert sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.ancestor_links(tree).collect()) == sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.ancestor_chains(tree).collect())
     assert hierarchy.ancestor_chains(rows).where("leaf_id = '5'").count() == hierarchy.DEPTH
 
 
@@ -82,3 +84,36 @@ def test_upsert(spark):
     now = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     delta = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 0)], "id string, v int, seq int")
     assert sorted(tuple(r) for r in lawdoc.upsert(now, delta, ["id"], ["seq"]).collect()) == [("a", 1), ("b", 4), ("c", 5)]
+
+
+def links(spark, pairs, starts=None):
+    rows = spark.createDataFrame(pairs, "id string, parent_id string")
+    made = hierarchy.ancestor_links(rows, None if starts is None else spark.createDataFrame([(x,) for x in starts], "id string"))
+    got = {}
+    for r in made.orderBy("leaf_id", "depth").collect():
+        got.setdefault(r.leaf_id, []).append(r.id)
+    return got
+
+
+@pytest.mark.parametrize("n", [1, 8, 200])
+def test_chains_of_any_depth(spark, n):
+    got = links(spark, [(str(i), str(i - 1) if i else None) for i in range(n)])
+    assert got == {str(i): [str(k) for k in range(i, -1, -1)] for i in range(n)}
+
+
+def test_cycles_end_before_a_row_comes_again(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("tail", "a"), ("longer", "tail"), ("self", "self"), ("over", "self"), ("root", None), ("leaf", "root"), ("lost", "gone"), (None, "root")]
+    want = {"a": "abc", "b": "bca", "c": "cab"}
+    got = links(spark, pairs)
+    assert {k: "".join(got[k]) for k in want} == want
+    assert got["longer"] == ["longer", "tail", "a", "b", "c"] and got["self"] == ["self"] and got["over"] == ["over", "self"]
+    assert got["leaf"] == ["leaf", "root"] and got["lost"] == ["lost"] and None not in got
+    assert links(spark, pairs, ["longer", "nobody"]) == {"longer": got["longer"]}
+
+
+def test_a_million_rows(spark):
+    """More rows than a recursive query may make."""
+    rows = spark.range(400_000).selectExpr("CAST(id AS STRING) AS id", "IF(id < 4, NULL, CAST(id DIV 4 AS STRING)) AS parent_id")
+    links_ = hierarchy.ancestor_links(rows)
+    depth = lambda i: 1 + depth(i // 4) if i >= 4 else 1
+    assert links_.count() == sum(depth(i) for i in range(400_000)) > 1_000_000
