@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the only characters that separate words here.
-SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a folder of this machine serves if Spark runs in one
-    process (tests); on a cluster that is an error, since executors would write
-    to disks of their own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "statuta-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
+from statuta.sources.shared import free, materialise, shared_dir
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+__all__ = ["free", "lower_ascii", "materialise", "mix", "packed", "parts", "quoted", "read_table", "shared_dir", "text_or_empty", "unpacked", "with_text"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df with a Parquet table in the shared folder, so that it survives lost executors.
-
-    The table is deleted by free(), or when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    system, place = _file_system(spark, path)
-    system.deleteOnExit(place)
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._materialised = path
-    return table
-
-
-def free(*tables: DataFrame) -> None:
-    """Delete materialised tables, once all that read them is written."""
-    for t in tables:
-        system, place = _file_system(t.sparkSession, t._materialised)
-        system.delete(place, True)
+#: ASCII white space, the only characters that separate words here.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def quoted(name: str) -> str:
