@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from statuta.functions.text import strip
 from statuta.sources.shared import free, materialise
 
+#: Levels beyond which chains are looked at for cycles; no result depends on it.
+DEEP = 64
+
 
 def ancestor_links(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """leaf_id, id, depth: each start (without starts, each row) with itself (depth 0) and all its ancestors, however many.
@@ -15,33 +18,29 @@ def ancestor_links(rows: DataFrame, starts: DataFrame | None = None) -> DataFram
     Rows jump to their parents, then to their parents' parents, and so on, so
     the number of joins grows with the logarithm of the depth. Each round takes
     the ancestors so far a jump further up. A chain ends where its parent is
-    null or missing. In a cycle it ends before a row that it already has.
-    Jumps meet a hot parent on one side only, so AQE can split it.
+    null or missing. In a cycle it ends before a row that it already has: from
+    DEEP levels on, the nearest place of each ancestor counts, and the rounds
+    end when none is new. Jumps meet a hot parent on one side only, so AQE can
+    split it.
     """
     ids = rows.select("id").where("id IS NOT NULL").distinct()
     up = rows.where("id IS NOT NULL AND parent_id IS NOT NULL").select("id", "parent_id").join(ids.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
     jump = materialise(up.select("id", F.col("parent_id").alias("to")), "jump")
     leaves = ids if starts is None else ids.join(starts.select("id").distinct(), "id", "left_semi")
     found = materialise(leaves.select(F.col("id").alias("leaf_id"), "id", F.lit(0).alias("depth")), "chains")
-    step, size, cyclic = 1, found.count(), False
+    step, size = 1, 0
     while not jump.isEmpty():
         further = found.join(jump, "id").select("leaf_id", F.col("to").alias("id"), (F.col("depth") + step).alias("depth"))
-        longer = found.union(further)
-        if cyclic:
+        longer, deep = found.union(further), step >= DEEP
+        if deep:
             longer = longer.groupBy("leaf_id", "id").agg(F.min("depth").alias("depth"))
         longer = materialise(longer, "chains")
         free(found)
-        found = longer
-        if not cyclic and not jump.where("id = to").isEmpty():
-            cyclic = True  # a row that is its own ancestor; from here on the nearest of each counts
-            once = materialise(found.groupBy("leaf_id", "id").agg(F.min("depth").alias("depth")), "chains")
-            free(found)
-            found = once
-        grown = found.count()
-        if grown == size:
+        found, grown = longer, longer.count() if deep else 0
+        if deep and grown == size:
             break
-        further_jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
-        again = materialise(further_jump, "jump")
+        ahead = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
+        again = materialise(ahead, "jump")
         free(jump)
         jump, size, step = again, grown, 2 * step
     free(jump)

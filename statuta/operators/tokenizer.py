@@ -103,14 +103,15 @@ def tokenize(text: str | None) -> list[str]:
     return out
 
 
-def _goes_on(sentence: list[str], token: str, after: str) -> bool:
-    """Whether a sentence runs on behind a closing mark."""
-    if after in _QUOTES and sum(t in _QUOTES for t in sentence) % 2:
+def _goes_on(tokens: list[str], start: int, at: int) -> bool:
+    """Whether the sentence from start on runs on behind the closing mark at a place."""
+    after = tokens[at + 1]
+    if after in _QUOTES and sum(t in _QUOTES for t in tokens[start : at + 1]) % 2:
         return True
     if after in CLOSING or after == "," or after[0].islower() or after[0].isdigit():
         return True
-    if len(sentence) == 2 and token == ".":
-        first = sentence[0]
+    if at - start == 1 and tokens[at] == ".":
+        first = tokens[start]
         return first[0].isdigit() or first[0].islower() or (len(first) == 1 and first.isupper())
     return False
 
@@ -125,7 +126,7 @@ def split_sentences(tokens: list[str], most: int | None = None) -> list[list[str
             continue
         after = tokens[i + 1]
         listed = token == ":" and i + 1 < last and ((after[0].isdigit() and tokens[i + 2] == ".") or tokens[i + 2] == ",")
-        if listed or (_END.fullmatch(token) and not _goes_on(tokens[start : i + 1], token, after)):
+        if listed or (_END.fullmatch(token) and not _goes_on(tokens, start, i)):
             out.append(tokens[start : i + 1])
             start = i + 1
             if len(out) == most:

@@ -77,7 +77,7 @@ def test_chains(spark):
     assert texts == {"3": ("Chương I Khoản 1 Điểm a C\n", "3"), "4": ("Điều 4 ", "4")}
     tree = rows.where("id <> '5'")
     assert sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.ancestor_links(tree).collect()) == sorted((r.leaf_id, r.depth, r.id) for r in hierarchy.ancestor_chains(tree).collect())
-    assert hierarchy.ancestor_chains(rows).where("leaf_id = '5'").count() == hierarchy.DEPTH
+    assert hierarchy.ancestor_chains(rows).where("leaf_id = '5'").count() == 1
 
 
 def test_upsert(spark):
@@ -108,6 +108,7 @@ def test_cycles_end_before_a_row_comes_again(spark):
     assert {k: "".join(got[k]) for k in want} == want
     assert got["longer"] == ["longer", "tail", "a", "b", "c"] and got["self"] == ["self"] and got["over"] == ["over", "self"]
     assert got["leaf"] == ["leaf", "root"] and got["lost"] == ["lost"] and None not in got
+    assert links(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("t", "a")], ["t"]) == {"t": ["t", "a", "b", "c"]}
     assert links(spark, pairs, ["longer", "nobody"]) == {"longer": got["longer"]}
 
 
