@@ -81,42 +81,41 @@ def _near(distance: int) -> str:
     return " AND ".join([*parts, f"bit_count(x.fp ^ y.fp) <= {distance}"])
 
 
-def link(keyed: DataFrame, columns: list[Column], near: str = "true", verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(keyed: DataFrame, told: Callable[[DataFrame], DataFrame], near: str) -> DataFrame:
     """node, component (smallest node reachable) of each node that has a link, from keyed (node, key): candidates share a key.
 
-    near is SQL over x and y, which hold node and the given columns (made from
-    node); verify keeps those of the candidate pairs (a, b, other columns) that
-    are links. First each bucket's members are tried against its smallest node,
-    which joins dense groups in linear time. Then only pairs from different
-    components are tried, with the bucket's largest component on one side, so
-    that a dense group never meets itself. keyed is freed.
+    told adds to rows with a node the columns that near, SQL over x and y, asks
+    for. First each bucket's members are tried against its smallest node, which
+    joins dense groups in linear time. Then only pairs from different components
+    are tried, with the bucket's largest component on one side, so that a dense
+    group never meets itself; near is part of that join, so that pairs which are
+    no link are never rows. keyed is freed.
     """
-    verify = verify or (lambda pairs: pairs)
     leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "leader")
     shared = materialise(keyed.join(leaders, "key").select("key", "node", "leader"), "shared")
     free(keyed)
-    x = shared.where("node <> leader").select("node", "leader").distinct().select(F.col("leader").alias("b"), "node", *columns).alias("x")
-    y = shared.where("node = leader").select("node").distinct().select("node", *columns).alias("y")
+    x = told(shared.where("node <> leader").select("node", F.col("leader").alias("b")).distinct()).alias("x")
+    y = told(shared.where("node = leader").select("node").distinct()).alias("y")
     stars = x.join(y, F.expr(f"x.b = y.node AND {near}")).select(F.col("x.node").alias("a"), "b")
-    stars = materialise(verify(stars), "stars")
+    stars = materialise(stars, "stars")
     first = connected_components(stars)
     placed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     placed = materialise(placed, "placed")
     sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "home")
-    open_ = placed.join(mixed, "key").select("key", "node", "part", "home", *columns)
-    pairs = (
+    open_ = materialise(told(placed.join(mixed, "key").select("key", "node", "part", "home")), "open")
+    cross = (
         open_.where("part <> home")
         .alias("x")
         .join(open_.alias("y"), F.expr(f"x.key = y.key AND x.part <> y.part AND (y.part = y.home OR x.node < y.node) AND {near}"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("pa"), F.col("y.part").alias("pb"))
+        .select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
     )
-    cross = materialise(verify(pairs.distinct()).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "cross")
+    cross = materialise(cross.distinct(), "cross")
     merged = connected_components(cross)
     nodes = first.select("node", "component").union(merged.select("node").join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
     joined = nodes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     found = materialise(joined.select("node", F.coalesce("to", "component").alias("component")), "parts")
-    free(shared, stars, first, placed, cross, merged)
+    free(shared, stars, first, placed, open_, cross, merged)
     return found
 
 
@@ -130,8 +129,7 @@ def link_fingerprints(distinct: DataFrame, distance: int = 4, spare: int = 3) ->
     so 2 is for some millions of fingerprints, 3 for some billions, 4 beyond.
     """
     keyed = materialise(distinct.select(F.col("fp").alias("node"), F.explode(block_keys(F.col("fp"), distance, spare)).alias("key")), "keys")
-    columns = [F.col("node").alias("fp"), *pivot_tables(F.col("node"))]
-    return link(keyed, columns, _near(distance)).withColumnRenamed("node", "fp")
+    return link(keyed, lambda rows: rows.select("*", F.col("node").alias("fp"), *pivot_tables(F.col("node"))), _near(distance)).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, spare: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,11 +171,7 @@ def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5) -> DataF
     wanted = distinct.join(keyed.join(again, "key").select("node").distinct(), "node", "left_semi").select("h1", "h2")
     sets = materialise(shingle_sets.sets_of(texts.join(wanted, ["h1", "h2"], "left_semi"), width).select("*", *pivot_tables(F.col("fp"))), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.alias("x"), F.expr("a = x.node")).join(sets.alias("y"), F.expr(f"b = y.node AND {_near(LOOSE)}"))
-        return met.where(shingle_sets.similar("x", "y")).select(*pairs.columns)
-
-    found = link(keyed, [], verify=verify)
+    found = link(keyed, lambda rows: rows.join(sets, "node"), f"{_near(LOOSE)} AND {shingle_sets.similar('x', 'y')}")
     free(sets)
     return found
 
