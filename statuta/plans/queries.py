@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from statuta.operators.synonyms import canonical, parse_synonyms
 from statuta.plans import build_graph
 from statuta.plans.partitioning import read_spread
 from statuta.sources import files, sinks
-from statuta.sources.shared import shared_dir
+from statuta.sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -407,7 +406,7 @@ SELECT sentence, id::INT AS id, word, pos, 'O' AS ner, (CASE WHEN id = root THEN
 )
 def annotation_files(spark, sf):
     """Annotations written as text files of six columns, and read again."""
-    path = f"{shared_dir(spark).rstrip('/')}/annotations-{uuid.uuid4().hex}"
+    path = scratch(spark, "annotations")
     told = _t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("sent_id"), F.explode(annotate.annotated(F.col("text"), annotate.stub_annotator)).alias("t"))
     sinks.write_annotations(told.select("doc_id", "sent_id", "t.*"), path)
     return annotate.read_annotations(spark, path).select("sentence", F.explode("tokens").alias("t")).select("sentence", "t.*")
@@ -427,7 +426,7 @@ def sentence_split(spark, sf):
 @_query()
 def segment_rdr(spark, sf):
     """Rules and word lists as a user keeps them, read from files."""
-    path = f"{shared_dir(spark).rstrip('/')}/segmenter-{uuid.uuid4().hex}"
+    path = scratch(spark, "segmenter")
     lines = ["True", '\tobject.tag == "I" : object.conclusion = "I"', '\t\tobject.prevWord1 == "of" : object.conclusion = "B"']
     for name, told in (("rules", lines), ("lists", ["words\tof the", "words\tin the", "words\tdie der"])):
         spark.createDataFrame([("\n".join(told),)], "value string").coalesce(1).write.text(f"{path}/{name}")

@@ -31,12 +31,18 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. It is deleted by free(), or when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there is deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     system, place = _file_system(spark, path)
     system.deleteOnExit(place)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder. It is deleted by free(), or when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._materialised = path
