@@ -406,7 +406,7 @@ SELECT sentence, id::INT AS id, word, pos, 'O' AS ner, (CASE WHEN id = root THEN
 )
 def annotation_files(spark, sf):
     """Annotations written as text files of six columns, and read again."""
-    path = scratch(spark, "annotations")
+    path = scratch(spark, "annotations") + "/files"
     told = _t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("sent_id"), F.explode(annotate.annotated(F.col("text"), annotate.stub_annotator)).alias("t"))
     sinks.write_annotations(told.select("doc_id", "sent_id", "t.*"), path)
     return annotate.read_annotations(spark, path).select("sentence", F.explode("tokens").alias("t")).select("sentence", "t.*")

@@ -32,18 +32,23 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; what is written there is deleted when the driver's JVM ends."""
+    """A new, empty folder in the shared folder, deleted with all below it when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     system, place = _file_system(spark, path)
-    system.deleteOnExit(place)
+    system.mkdirs(place)
+    system.deleteOnExit(place)  # has no effect on a path that is not there yet
     return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder. It is deleted by free(), or when the driver's JVM ends."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, path)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        system.deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)
     table._materialised = path
     return table
