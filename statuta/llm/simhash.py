@@ -152,15 +152,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, spare: i
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of sets at similarity 0.8 differ in 9.7 bits of 64 on average, with a deviation of 2.9.
-LOOSE = 28
+#: Fingerprints of sets at similarity 0.8 differ in 9.7 bits of 64 on average, with a deviation of 2.9. The worst are sets of 4 and 5
+#: shingles: a bit differs with probability 3/16, so more than 32 bits do with 3.7e-9 (more than 28 with 1.1e-6).
+LOOSE = 32
 
 
 def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     """node, component of each shingle set that has another one of Jaccard similarity 4/5 or more, of distinct (node, keys, h1, h2) and the rows texts (h1, h2, text).
 
     At that similarity fingerprints differ in too many bits for block keys: to
-    miss no pair within LOOSE bits there would be 29 keys of 2 bits. So
+    miss no pair within LOOSE bits there would be 33 keys of 2 bits at most. So
     candidates share one of 48 bands of 5 least hashes (a pair at 0.8 shares
     none with probability 5e-9). Pivot distances and the Hamming distance of
     the fingerprints discard pairs beyond LOOSE bits, and the survivors are

@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import corpus_pipeline
 from statuta.llm import shingle_sets, simhash
@@ -78,3 +79,22 @@ def test_similar_pairs_are_within_the_loose_bound():
             if 5 * len(b) >= 4 * len(a):
                 far = max(far, bin((shingle_sets.bits(a) ^ shingle_sets.bits(b)) & (2**64 - 1)).count("1"))
     assert 4 < far <= simhash.LOOSE
+
+
+def chance_of_another_bit(shared, more, other):
+    """That a majority over shared + more random bits differs from that over shared + other."""
+    found = 0.0
+    for c in range(shared + 1):
+        for x in range(more + 1):
+            for y in range(other + 1):
+                if ((c + x) * 2 > shared + more) != ((c + y) * 2 > shared + other):
+                    found += comb(shared, c) * comb(more, x) * comb(other, y) / 2 ** (shared + more + other)
+    return found
+
+
+def test_the_loose_bound_discards_links_less_often_than_the_bands_miss_them():
+    sizes = [(s, a, b) for s in range(4, 40) for a in range(s // 4 + 1) for b in range(a, s // 4 + 1 - a) if a + b]
+    p = max(chance_of_another_bit(*z) for z in sizes)
+    beyond = sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(simhash.LOOSE + 1, 65))
+    missed = (1 - 0.8**shingle_sets.ROWS) ** shingle_sets.BANDS
+    assert beyond < missed < 6e-9
