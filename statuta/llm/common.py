@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statuta.sources.shared import free, materialise, shared_dir
 
-__all__ = ["free", "lower_ascii", "materialise", "mix", "packed", "parts", "quoted", "read_table", "shared_dir", "text_or_empty", "unpacked", "with_text"]
+__all__ = ["free", "lower_ascii", "materialise", "mix", "packed", "parts", "quoted", "read_table", "shared_dir", "text_or_empty", "tidy", "unpacked", "with_text"]
 
 #: ASCII white space, the only characters that separate words here.
 SPACE = r"[\x20\x09-\x0D]"
@@ -58,6 +60,38 @@ def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where its allocators allow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over the batches of a task, which gives back freed memory after each batch and at the end.
+
+    Python workers live on for the tasks of later stages, and what their
+    allocators hold counts against the executor: after 8,000 texts 200 to 320 MB
+    a worker, of which half is free.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(each(batches))
+        finally:
+            give_back()
+
+    return task
+
+
 def mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
     """Order-sensitive combination of two arrays of 64-bit hashes."""
     with np.errstate(over="ignore"):

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import materialise, quoted, text_or_empty
+from statuta.llm.common import materialise, quoted, text_or_empty, tidy
 
 #: Chunks of text whose ids a Python worker keeps; beyond it the store starts anew.
 CACHE = 300_000
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2
 
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    table = materialise(rows.mapInPandas(first, "doc_id long, task int, place long, doc_tokens long, ids binary"), "tokens")
+    table = materialise(rows.mapInPandas(tidy(first), "doc_id long, task int, place long, doc_tokens long, ids binary"), "tokens")
     totals = table.groupBy("task").agg(F.sum("doc_tokens").alias("n")).orderBy("task").collect()  # a number for each task
     bases = np.concatenate([[0], np.cumsum([r.n for r in totals])]).astype(int)
     total = int(bases[-1])
@@ -141,5 +141,5 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length"]
     placed = table.join(F.broadcast(offsets), "task").select("doc_id", (F.col("base") + F.col("place")).alias("at"), "doc_tokens", "ids")
-    return placed.mapInPandas(second, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long")
+    return placed.mapInPandas(tidy(second), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long")
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import free, materialise, parts, quoted, text_or_empty
+from statuta.llm.common import free, materialise, parts, quoted, text_or_empty, tidy
 from statuta.llm.ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -87,7 +87,7 @@ def examples(labelled: DataFrame, label: str = "quality", most: int = FIT_FEATUR
             raw = [pa.array([r[k].astype(kind).tobytes() for r in rows], pa.binary()) for k, kind in ((0, "<i4"), (1, "<f4"))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array([len(r[0]) for r in rows], pa.int64()), *raw], ["hash", "doc_id", "label", "n", "at", "value"])
 
-    made = materialise(chosen.mapInArrow(run, "hash long, doc_id long, label int, n long, at binary, value binary"), "examples")
+    made = materialise(chosen.mapInArrow(tidy(run), "hash long, doc_id long, label int, n long, at binary, value binary"), "examples")
     read = in_bound(made, most)
     free(made)
     return [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(read["at"], read["value"], strict=True)], read["label"].to_numpy(float)
@@ -130,7 +130,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             made = [float(sigmoid(w[at] @ value)) for at, value in map(features, part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = FIT_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import quoted, text_or_empty
+from statuta.llm.common import quoted, text_or_empty, tidy
 
 MARK = "▁"  # stands for a space in pieces
 CACHE = 250_000
@@ -212,4 +212,4 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array([r[3] for r in rows], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")

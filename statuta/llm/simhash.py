@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.llm import shingle_sets
-from statuta.llm.common import free, materialise, packed, quoted, unpacked
+from statuta.llm.common import free, materialise, packed, quoted, tidy, unpacked
 from statuta.llm.components import connected_components
 
 #: The reference fingerprints: rows of the 64 x 64 Hadamard matrix, each 32 bits from every other.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [_signed(fingerprint(t, width)) for t in batch["text"]]})
 
-    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text")).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:

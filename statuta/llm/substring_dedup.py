@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statuta.llm.common import free, materialise, packed, parts, unpacked
+from statuta.llm.common import free, materialise, packed, parts, tidy, unpacked
 
 GRAM = 8  # words in an anchor
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -150,7 +150,7 @@ def duplicate_windows(docs: DataFrame, width: int = 35) -> DataFrame:
                         ["doc_id", "text_key", "anchor", "window", "first"],
                     )
 
-    parsed = materialise(docs.select("doc_id", "text_key", "text").mapInArrow(parse, "doc_id long, text_key long, anchor long, whole long, first int, n short"), "blocks")
+    parsed = materialise(docs.select("doc_id", "text_key", "text").mapInArrow(tidy(parse), "doc_id long, text_key long, anchor long, whole long, first int, n short"), "blocks")
     index = parsed.groupBy("anchor").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("anchor")
     index = materialise(index, "index")  # a table of its own, so that AQE can split the join's hot anchors
     shared = materialise(parsed.join(index, "anchor"), "shared")
@@ -164,7 +164,7 @@ def duplicate_windows(docs: DataFrame, width: int = 35) -> DataFrame:
     by_doc = todo.groupBy("doc_id", "text_key").agg(F.collect_list("block").alias("blocks"))
     ask = by_doc.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "blocks")
     opened = docs.join(ask, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.text_key == F.col("_key"))).select("doc_id", "text_key", "text", "blocks")
-    windows = materialise(opened.mapInArrow(compare, "doc_id long, text_key long, anchor long, window long, first int"), "windows")
+    windows = materialise(opened.mapInArrow(tidy(compare), "doc_id long, text_key long, anchor long, window long, first int"), "windows")
     again = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("anchor", "window")
     again = materialise(again, "again")
     short_factors = windows.join(again, ["anchor", "window"]).select("doc_id", "text_key", "first", (F.col("first") + width).alias("end"))
@@ -200,7 +200,7 @@ def judged(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "spans", "n_words", "n_removed", "kept_text"])
 
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return found.mapInArrow(cut, T.StructType([*found.schema.fields, *added]))
+    return found.mapInArrow(tidy(cut), T.StructType([*found.schema.fields, *added]))
 
 
 def dedup_substrings(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

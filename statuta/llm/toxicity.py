@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import free, materialise, packed, parts, quoted, text_or_empty, unpacked
+from statuta.llm.common import free, materialise, packed, parts, quoted, text_or_empty, tidy, unpacked
 from statuta.llm.ftrl import Ftrl, sigmoid
 from statuta.llm.quality import in_bound, sample
 
@@ -111,7 +111,7 @@ def fit_chain(spark, rows: list[np.ndarray], labels: list[np.ndarray], masks: li
                     yield pd.DataFrame({"fold": fold, "at": out, "value": [float(sigmoid(w[examples[i][0]] @ examples[i][1])) for i in out]})
 
         first = 0 if c + 1 < k else FOLDS  # the last category feeds none, so it needs no folds
-        made = spark.range(first, FOLDS + 1, 1, FOLDS + 1 - first).mapInPandas(run, "fold int, at long, value double").toPandas()
+        made = spark.range(first, FOLDS + 1, 1, FOLDS + 1 - first).mapInPandas(tidy(run), "fold int, at long, value double").toPandas()
         shared.destroy()
         whole = made[made["fold"] == FOLDS]
         w = np.zeros(SIZE + k)
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, names: list[str]) -> Chain:
 
     owns = [f"own{c}" for c in range(k)]
     schema = "at int, n long, " + ", ".join(f"{o} long" for o in owns)
-    counts = marked.mapInArrow(count, schema).groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(o).alias(o) for o in owns])
+    counts = marked.mapInArrow(tidy(count), schema).groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(o).alias(o) for o in owns])
     often = " OR ".join(f"({o} >= 4 AND {o} > 0.01 * n)" for o in owns)
     seen = counts.where(f"at = 0 OR {often}").toPandas()  # at most 2 ** BITS rows
     all_ = seen[seen["at"] == 0]
@@ -179,7 +179,7 @@ def fit(labelled: DataFrame, names: list[str]) -> Chain:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["hash", "doc_id", *names, "n", "at"])
 
     labels_schema = ", ".join(f"{quoted(n)} int" for n in names)
-    kept = materialise(marked.mapInArrow(keep, f"hash long, doc_id long, {labels_schema}, n long, at binary"), "examples")
+    kept = materialise(marked.mapInArrow(tidy(keep), f"hash long, doc_id long, {labels_schema}, n long, at binary"), "examples")
     made = in_bound(kept, FIT_FEATURES)
     free(kept)
     if not len(made):
@@ -211,7 +211,7 @@ def _scored(rows: DataFrame, chain: Chain, names: list[str]) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:place], *(T.StructField(c, T.DoubleType()) for c in added)]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields[:place], *(T.StructField(c, T.DoubleType()) for c in added)]))
 
 
 def _rejected(names: list[str], threshold: float) -> Column:
