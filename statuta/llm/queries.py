@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, exact_dedup, fingerprint, line_dedup, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
+from statuta.llm import chat, exact_dedup, fingerprint, lexical_search, line_dedup, packing, quality, quality_rules, resampling, sentencepiece_codec, simhash, substring_dedup, toxicity
 from statuta.llm.common import read_table
 from statuta.plans.partitioning import read_spread
 
@@ -75,6 +75,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -86,10 +98,14 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_fingerprint": op10_fingerprint,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_resampling": op13_resampling,
 }
 ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }

@@ -1,0 +1,102 @@
+import re
+from collections import Counter
+from math import floor, log
+
+import numpy as np
+import pytest
+
+from statuta.llm import lexical_search as ls
+from statuta.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def brute(docs, items, k=20):
+    """(item_id, rank, doc_id, score) of docs [(doc_id, text)] for items [(item_id, text)], every document by every item."""
+    found = [(i, Counter(terms(t)), len(terms(t))) for i, t in docs]
+    found = [f for f in found if f[2]]
+    n_docs, n_terms = len(found), sum(f[2] for f in found)
+    df = Counter(t for _, c, _ in found for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, counts, n in found:
+            m = 100 - 25 + (25 * n * n_docs) // n_terms
+            s = sum(floor(1000 * log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * counts[t]) // (1000 * counts[t] + 12 * m)) for t in terms(text) if t in counts)
+            if s > 0:
+                scored.append((-s, i is None, i or 0))
+        out += [(item, r, None if null else i, -s) for r, (s, null, i) in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def rows(df):
+    return [tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()]
+
+
+def order(found):
+    return sorted(found, key=lambda r: tuple((x is None, x or 0) for x in r))
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    return docs, items
+
+
+def test_query_equals_brute_force(spark, tables):
+    assert order(rows(QUERIES["op11_lexical_search"](spark, SF))) == order(brute(*tables))
+
+
+def test_small_shards_blocks_and_k(spark, tables, monkeypatch):
+    """Many shards to a task, many blocks of items, few places: bounds and thresholds must not lose a tie."""
+    monkeypatch.setattr(ls, "SHARD_DOCS", 7)
+    docs = spark.createDataFrame(tables[0], "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(tables[1], "item_id long, text string")
+    assert order(rows(ls.search(docs, items, k=3, block_terms=150))) == order(brute(*tables, k=3))
+
+
+def test_bounds_stop_early_and_complete_scores():
+    """Two documents hold all rare words: the rest of the postings is not read, and their scores are whole."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    term = np.concatenate([np.tile([0, 1], n), np.repeat([2, 3, 4, 5], 2)])
+    doc = np.concatenate([np.repeat(np.arange(n), 2), np.tile([17, 3001], 4)])
+    by = np.argsort(doc, kind="stable")
+    starts = np.searchsorted(doc[by], np.arange(n + 1))
+    tf = rng.integers(1, 9, len(by))
+    shard = ls.Shard(np.arange(n), np.full(n, 50), starts, term[by], tf, np.array([3, 5, 9000, 9000, 9000, 9000]), n, 50 * n)
+    read = []
+    monkey = shard.exact
+    shard.exact = lambda docs, times: read.append(len(docs)) or monkey(docs, times)
+    wanted, times = np.arange(6), np.array([1, 2, 1, 1, 3, 1])
+    docs, scores = shard.best(wanted, times, 2, 0)
+    assert read and read[0] < n / 10
+    whole = shard.exact(np.arange(n), times)
+    best = np.lexsort((np.arange(n), -whole))[:2]
+    assert dict(zip(docs.tolist(), scores.tolist()))[int(best[0])] == whole[best[0]]
+    assert set(best.tolist()) == {17, 3001} <= set(docs.tolist())
+
+
+def test_odd_rows(spark):
+    text = "Alpha beta, GAMMA é"
+    docs = [(1, text), (1, text), (2, text), (None, text), (None, "beta"), (3, None), (4, ""), (5, " .,;"), (6, "alpha " * 5000), (7, "É é"), (8, "日本 alpha\0beta"), (9, text), (9, "gamma")]
+    items = [(1, "alpha É"), (2, None), (3, ""), (4, "nowhere"), (5, "beta beta gamma"), (5, "alpha"), (None, "beta é"), (6, "BETA BETA gamma")]
+    extra = spark.createDataFrame([(i, t, "x", 5, 0.5) for i, t in docs], "doc_id long, text string, term string, n int, score double")
+    asked = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, h int")
+    for k in (1, 3, 20):
+        assert order(rows(ls.search(extra, asked, k=k))) == order(brute(docs, items, k))
+    assert rows(ls.search(extra, asked.union(asked), k=3)) and order(rows(ls.search(extra, asked.union(asked), k=3))) == order(brute(docs, items, 3))
+
+
+def test_empty_tables(spark):
+    docs, items = spark.createDataFrame([(1, "alpha")], "doc_id long, text string"), spark.createDataFrame([(1, "alpha")], "item_id long, text string")
+    assert rows(ls.search(docs.where("false"), items)) == []
+    assert rows(ls.search(docs, items.where("false"))) == []
+    assert rows(ls.search(docs.select("doc_id", docs.text.substr(1, 0).alias("text")), items)) == []
