@@ -81,36 +81,41 @@ def _near(distance: int) -> str:
     return " AND ".join([*parts, f"bit_count(x.fp ^ y.fp) <= {distance}"])
 
 
-def link(keyed: DataFrame, told: Callable[[DataFrame], DataFrame], near: str) -> DataFrame:
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """key, node, leaders, members of the buckets (node, key: each pair once) with two members or more.
+
+    Of buckets with the same members, as the bands of a group of copies are,
+    one stays: members are compared by their number and two 64-bit sums of
+    their hashes. leaders are up to three members: the smallest, the largest and
+    the one of the smallest hash.
+    """
+    leaders = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node"))))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)]
+    seen = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), leaders.alias("leaders"), *marks).where("members > 1")
+    one = seen.groupBy("members", "x0", "x1").agg(F.min("key").alias("key"), F.first("leaders").alias("leaders"))
+    return keyed.join(one.select("key", "members", "leaders"), "key").select("key", "node", "leaders", "members")
+
+
+def link(keyed: DataFrame, verified: Callable[[DataFrame], DataFrame], crossed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component (smallest node reachable) of each node that has a link, from keyed (node, key): candidates share a key.
 
-    told adds to rows with a node the columns that near, SQL over x and y, asks
-    for. First each bucket's members are tried against its smallest node, which
-    joins dense groups in linear time. Then only pairs from different components
-    are tried, with the bucket's largest component on one side, so that a dense
-    group never meets itself; near is part of that join, so that pairs which are
-    no link are never rows. keyed is freed.
+    First each bucket's members are tried against its leaders: pairs of ids,
+    each once over all buckets, of which verified() gives the links. That joins
+    dense groups in linear time, and it settles every bucket that has fewer than
+    two other members. Then crossed() gets the members (key, node, part) of the
+    buckets in which more than one component is left, and gives links between
+    components; pairs that are no link are never rows. keyed is freed.
     """
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "leader")
-    shared = materialise(keyed.join(leaders, "key").select("key", "node", "leader"), "shared")
+    shared = materialise(shared_buckets(keyed), "shared")
     free(keyed)
-    x = told(shared.where("node <> leader").select("node", F.col("leader").alias("b")).distinct()).alias("x")
-    y = told(shared.where("node = leader").select("node").distinct()).alias("y")
-    stars = x.join(y, F.expr(f"x.b = y.node AND {near}")).select(F.col("x.node").alias("a"), "b")
-    stars = materialise(stars, "stars")
+    tried = shared.select("node", F.explode("leaders").alias("b")).where("node <> b")
+    stars = materialise(verified(tried.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()), "stars")
     first = connected_components(stars)
-    placed = shared.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    placed = shared.where("members - size(leaders) > 1").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     placed = materialise(placed, "placed")
-    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"))
-    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "home")
-    open_ = materialise(told(placed.join(mixed, "key").select("key", "node", "part", "home")), "open")
-    cross = (
-        open_.where("part <> home")
-        .alias("x")
-        .join(open_.alias("y"), F.expr(f"x.key = y.key AND x.part <> y.part AND (y.part = y.home OR x.node < y.node) AND {near}"))
-        .select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
-    )
-    cross = materialise(cross.distinct(), "cross")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    open_ = materialise(placed.join(mixed, "key"), "open")
+    cross = materialise(crossed(open_).distinct(), "cross")
     merged = connected_components(cross)
     nodes = first.select("node", "component").union(merged.select("node").join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
     joined = nodes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
@@ -119,6 +124,21 @@ def link(keyed: DataFrame, told: Callable[[DataFrame], DataFrame], near: str) ->
     return found
 
 
+#: Members of a hot bucket that one block of its grid holds, about.
+BLOCK = 2048
+
+
+def _pairs_by_bits(open_: DataFrame, near: str) -> DataFrame:
+    """a, b: components that have a link, of (key, node: a fingerprint, part); a bucket of many members is a grid of blocks, one task for each pair of blocks."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(sizes, "key").select("key", F.col("node").alias("fp"), "part", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), "blocks", *pivot_tables(F.col("node")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = rows.select("*", F.col("own").alias("i"), other.alias("j")).alias("x")
+    y = rows.select("*", other.alias("i"), F.col("own").alias("j")).alias("y")
+    met = x.join(y, F.expr(f"x.key = y.key AND x.i = y.i AND x.j = y.j AND x.part <> y.part AND x.fp < y.fp AND {near}"))
+    return met.select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
+
+
 def link_fingerprints(distinct: DataFrame, distance: int = 4, spare: int = 3) -> DataFrame:
     """fp, component (smallest signed fp reachable) of each of the fingerprints (fp, each once) that has another one within the distance.
 
@@ -129,7 +149,12 @@ def link_fingerprints(distinct: DataFrame, distance: int = 4, spare: int = 3) ->
     so 2 is for some millions of fingerprints, 3 for some billions, 4 beyond.
     """
     keyed = materialise(distinct.select(F.col("fp").alias("node"), F.explode(block_keys(F.col("fp"), distance, spare)).alias("key")), "keys")
-    return link(keyed, lambda rows: rows.select("*", F.col("node").alias("fp"), *pivot_tables(F.col("node"))), _near(distance)).withColumnRenamed("node", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [F.struct(F.col(c).alias("fp"), *pivot_tables(F.col(c))).alias(s) for c, s in (("a", "x"), ("b", "y"))]
+        return pairs.select("a", "b", *sides).where(_near(distance)).select("a", "b")
+
+    return link(keyed, verified, lambda rows: _pairs_by_bits(rows, _near(distance))).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, spare: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,21 +183,33 @@ LOOSE = 32
 
 
 def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
-    """node, component of each shingle set that has another one of Jaccard similarity 4/5 or more, of distinct (node, keys, h1, h2) and the rows texts (h1, h2, text).
+    """node, component of each shingle set that has another one of Jaccard similarity 4/5 or more, of distinct (node, n, fp, keys, h1, h2) and the rows texts (h1, h2, text).
 
     At that similarity fingerprints differ in too many bits for block keys: to
     miss no pair within LOOSE bits there would be 33 keys of 2 bits at most. So
     candidates share one of 48 bands of 5 least hashes (a pair at 0.8 shares
-    none with probability 5e-9). Pivot distances and the Hamming distance of
-    the fingerprints discard pairs beyond LOOSE bits, and the survivors are
-    verified on the whole sets.
+    none with probability 5e-9). Pairs of ids are discarded by size, by pivot
+    distances and by the Hamming distance of the fingerprints beyond LOOSE bits;
+    only survivors get their whole sets, on which they are verified. Buckets
+    that this leaves open are compared block by block (shingle_sets.crossed).
     """
     keyed = materialise(distinct.select("node", F.explode("keys").alias("key")), "keys")
     again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     wanted = distinct.join(keyed.join(again, "key").select("node").distinct(), "node", "left_semi").select("h1", "h2")
-    sets = materialise(shingle_sets.sets_of(texts.join(wanted, ["h1", "h2"], "left_semi"), width).select("*", *pivot_tables(F.col("fp"))), "sets")
+    sets = materialise(shingle_sets.sets_of(texts.join(wanted, ["h1", "h2"], "left_semi"), width), "sets")
+    told = distinct.select("node", F.struct("n", "fp", *pivot_tables(F.col("fp"))).alias("told"))
+
+    def both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
+        for c, s in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(side.select(F.col("node").alias(c), F.col(column).alias(s)), c)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        close = both(pairs, told, "told").where(f"{shingle_sets.sizes_allow('x', 'y')} AND {_near(LOOSE)}").select("a", "b")
+        whole = sets.select("node", F.struct("n", "shingles").alias("whole"))
+        return both(materialise(close, "close"), whole, "whole").where(shingle_sets.similar("x", "y")).select("a", "b")
 
-    found = link(keyed, lambda rows: rows.join(sets, "node"), f"{_near(LOOSE)} AND {shingle_sets.similar('x', 'y')}")
+    found = link(keyed, verified, lambda rows: shingle_sets.crossed(rows, sets, PIVOTS, LOOSE))
     free(sets)
     return found
 
@@ -194,8 +231,8 @@ def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     rows = base.select(doc_id.cast("long").alias("doc_id"), *hashes, text.alias("text"))
     marked = materialise(shingle_sets.sketches(rows, width), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("least")
-    distinct = marked.groupBy("node").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"))
-    distinct = materialise(distinct.select("node", "n", "keys", "least", "least.h1", "least.h2"), "distinct")
+    distinct = marked.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    distinct = materialise(distinct.select("node", "n", "fp", "keys", "least", "least.h1", "least.h2"), "distinct")
     parts = link_similar(distinct, rows.select("h1", "h2", "text"), width)
     named = distinct.select("node", "least").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     stay = materialise(named.select("least.h1", "least.h2"), "stay")
