@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statuta.functions import text as tx
 from statuta.functions.constants import TONE_MARKS
 from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer, triplets
+from statuta.operators.support_store import SupportStore
 from statuta.operators.synonyms import canonical, parse_synonyms
 from statuta.plans import build_graph
 from statuta.plans.partitioning import read_spread
@@ -303,6 +304,28 @@ def incremental_merge(spark, sf):
     return graph.merge_edges(graph.merge_into(graph.merge_into(early, late), early)).withColumn("source_document_ids", F.array_join("source_document_ids", ","))
 
 
+@_query(f"WITH {_TRIPLETS} SELECT DISTINCT c1, r, c2, document_id FROM t")
+def bucketed_merge(spark, sf):
+    """Batches that overlap, one of them delivered twice, merged into a store of edges in buckets; the buckets of many pieces are compacted."""
+    support = graph.edge_support(graph.build_triplets(_edges(spark, sf)))
+    store = SupportStore.create(support, scratch(spark, "edges") + "/store", ["c1", "r", "c2"], 16)
+    for number, batch in enumerate(["c2 <> 'o'", "c2 <> 'f'", "c2 = 'p'"]):
+        for _ in range(2):
+            store.merge(support.where(batch), number)
+    store.compact(1)
+    store.vacuum()
+    return store.rows()
+
+
+@_query(f"WITH {_TRIPLETS}, n AS (SELECT c1 AS name, document_id, document_number FROM t UNION SELECT c2, document_id, document_number FROM t) SELECT name, document_id, document_number FROM n WHERE name IN ('france', 'f', 'no such name')")
+def bucketed_lookup(spark, sf):
+    """The support of some concepts, of which only the buckets are read."""
+    support = _graph(spark, sf)[0]
+    store = SupportStore.create(support, scratch(spark, "nodes") + "/store", ["name"], 16)
+    store.merge(support)
+    return store.of(_names(spark, ["france", "f", "no such name"]))
+
+
 @_query("SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || '|7'), doc_id LIMIT 10")
 def seeded_sample(spark, sf):
     return graph.sample(_t(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], 10, 7)

@@ -54,8 +54,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files and folders with all below them; those that are not there are passed over."""
+    for path in paths:
+        system, place = _file_system(spark, path)
+        system.delete(place, True)
+
+
 def free(*tables: DataFrame) -> None:
     """Delete materialised tables, once all that read them is written."""
     for t in tables:
-        system, place = _file_system(t.sparkSession, t._materialised)
-        system.delete(place, True)
+        delete(t.sparkSession, t._materialised)
