@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statuta.functions import text as tx
 from statuta.functions.constants import TONE_MARKS
 from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer, triplets
+from statuta.operators.draws import draws
 from statuta.operators.support_store import SupportStore
 from statuta.operators.synonyms import canonical, parse_synonyms
 from statuta.plans import build_graph
@@ -157,6 +158,19 @@ def sampled_chains(spark, sf):
     return hierarchy.ancestor_chains(tree, points).select("leaf_id", "depth", "id", "title")
 
 
+@_query(
+    f"""WITH RECURSIVE {_TREE}, p AS (SELECT id, row_number() OVER (ORDER BY md5(id || '|5'), id) - 1 AS place FROM l WHERE title LIKE '%Điểm%'),
+d AS (SELECT ('0x' || substr(md5('draw|' || k || '|5'), 1, 15))::BIGINT % (SELECT count(*) FROM p) AS place, count(*) AS times FROM range(10000) AS r(k) GROUP BY 1)
+SELECT leaf_id, times, depth, c.id, title FROM c JOIN p ON p.id = leaf_id JOIN d USING (place)"""
+)
+def point_draws(spark, sf):
+    """Ten thousand draws, with replacement, of rows at the level of points, with all their parents."""
+    tree = _tree(spark, sf)
+    hit = draws(tree.where(F.col("title").like("%Điểm%")).select("id"), ["id"], 10_000, 5)
+    chains = hierarchy.ancestor_chains(tree, hit.select("id"))
+    return chains.join(hit.select(F.col("id").alias("leaf_id"), "times"), "leaf_id").select("leaf_id", "times", "depth", "id", "title")
+
+
 @_query(
     f"""WITH RECURSIVE {_TREE}
 SELECT leaf_id, string_agg(title || ' ', '' ORDER BY depth DESC) || coalesce(string_agg(CASE WHEN title NOT LIKE 'Chương%' THEN content || chr(10) END, '' ORDER BY depth DESC), '') AS context,
