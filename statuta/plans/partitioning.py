@@ -22,18 +22,16 @@ def read_spread(spark: SparkSession, sf_dir: str, name: str, key: str | None = N
     A table of fewer bytes than one full input split for each core may lie in
     few row groups, so it is dealt anew; what that moves is bounded by the
     cores. A larger table is read as it is split, and none of its rows move.
-    With a key, a small table is dealt by it to a number of partitions that its
-    bytes alone decide, and sorted in each; as a larger one is split by bytes
-    too, the order of rows then depends on the table and not on the cores.
+    With a key, a table of any size is dealt by it to a number of partitions that
+    its bytes alone decide, and sorted in each, so the order of rows depends on
+    the table alone, and neither on the cores nor on the settings of the reader.
     """
     path = f"{sf_dir}/{name}.parquet"
     table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     size = files.agg(F.sum("length")).first()[0] or 0
-    if size >= cores * split:
-        return table
     if key is None:
-        return table.repartition(cores)
-    parts = max(min(512, 1 + (size >> 20)), size >> 24)
+        split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        return table if size >= cores * split else table.repartition(cores)
+    parts = max(min(512, 1 + (size >> 20)), size >> 27)
     return table.repartition(parts, key).sortWithinPartitions(*table.columns)
