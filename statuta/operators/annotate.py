@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statuta.functions.text import rewrite_prompt
+from statuta.sources.files import placed_lines
 
 TOKENS = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("pos", T.StringType()), T.StructField("ner", T.StringType()), T.StructField("head", T.IntegerType()), T.StructField("deprel", T.StringType())]))
 Factory = Callable[[], Callable]
@@ -77,32 +78,31 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """sent_id, id, word, pos, ner, head, deprel, sentence from text files of six tab-separated columns, a blank line behind each sentence.
+    """path, sent_id, sentence, tokens (id, word, pos, ner, head, deprel) from text files of six tab-separated columns, a blank line behind each sentence.
 
-    `_` stands for what is missing. Sentences are numbered in each file; sentence
-    is the words joined by spaces.
+    `_` stands for what is missing. Sentences are numbered in each file, blank
+    lines apart; sentence is the words joined by spaces. A file may be of any
+    size: its splits are read by different tasks, and a sentence may lie across
+    their border.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
-    blocks = whole.select("path", F.posexplode(F.split("v", r"\n\s*\n")).alias("sent_id", "block")).where("trim(block) <> ''")
-    lines = blocks.select("path", "sent_id", F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    cut = lambda x, k: F.get(F.split(x, "\t"), F.lit(k))
+    own = Window.partitionBy("path", "start").orderBy("place")
+    lines = placed_lines(spark, path).withColumn("blank", F.trim("value") == "").withColumn("after", F.lag("blank").over(own))
+    inner = F.count_if(~F.col("blank") & F.col("after"))
+    splits = lines.groupBy("path", "start").agg(inner.alias("inner"), F.min_by("blank", "place").alias("first"), F.max_by("blank", "place").alias("last"))
+    file = Window.partitionBy("path").orderBy("start")  # one row for each split of a file
+    splits = splits.withColumn("before", F.coalesce(F.lag("last").over(file), F.lit(True)))
+    splits = splits.withColumn("n", F.col("inner") + (~F.col("first") & F.col("before")).cast("long"))
+    splits = splits.select("path", "start", "before", (F.sum("n").over(file) - F.col("n")).alias("base"))
+    begins = (~F.col("blank") & F.coalesce("after", "before")).cast("long")
+    placed = lines.join(splits, ["path", "start"]).withColumn("sent_id", (F.col("base") + F.sum(begins).over(own) - 1).cast("int")).where(~F.col("blank"))
+    cut = lambda k: F.get(F.split("value", "\t"), F.lit(k))
     known = lambda c: F.when(c != "_", c)
-    tokens = F.transform("lines", lambda x: F.struct(cut(x, 0).cast("int").alias("id"), cut(x, 1).alias("word"), known(cut(x, 2)).alias("pos"), known(cut(x, 3)).alias("ner"), known(cut(x, 4)).cast("int").alias("head"), known(cut(x, 5)).alias("deprel")))
-    made = lines.select("path", "sent_id", tokens.alias("tokens"))
+    token = F.struct(cut(0).cast("int").alias("id"), cut(1).alias("word"), known(cut(2)).alias("pos"), known(cut(3)).alias("ner"), known(cut(4)).cast("int").alias("head"), known(cut(5)).alias("deprel"))
+    made = placed.select("path", "sent_id", F.struct("start", "place", token.alias("token")).alias("x")).groupBy("path", "sent_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    made = made.select("path", "sent_id", F.transform("xs", lambda x: x["token"]).alias("tokens"))
     return made.select("path", "sent_id", F.array_join(F.transform("tokens", lambda t: t["word"]), " ").alias("sentence"), "tokens")
 
 
-def from_annotations(spark: SparkSession, path: str) -> Factory:
-    """An annotator that looks sentences up in annotation files, made by a tool outside; a sentence that they lack is an error.
-
-    The files travel to every worker, so they are for a corpus whose annotations
-    fit there; larger ones are joined by sentence instead.
-    """
-    known = {r.sentence: [t.asDict() for t in r.tokens] for r in read_annotations(spark, path).collect()}
-    shared = spark.sparkContext.broadcast(known)
-    return lambda: shared.value.__getitem__
-
-
 def stub_annotator() -> Callable:
     """Stands in for a model: words in turn noun, verb, noun; the first verb is the root."""
 

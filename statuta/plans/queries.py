@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statuta.functions import text as tx
 from statuta.functions.constants import TONE_MARKS
-from statuta.operators import annotate, graph, hierarchy, lawdoc, ngrams, segmenter, tokenizer, triplets
+from statuta.operators import annotate, graph, hierarchy, infer, lawdoc, ngrams, segmenter, tokenizer, triplets
 from statuta.operators.draws import draws
 from statuta.operators.support_store import SupportStore
 from statuta.operators.synonyms import canonical, parse_synonyms
@@ -17,6 +19,7 @@ from statuta.plans import build_graph
 from statuta.plans.partitioning import read_spread
 from statuta.sources import files, sinks
 from statuta.sources.shared import scratch
+from statuta.streaming import properties
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -449,6 +452,39 @@ def annotation_files(spark, sf):
     return annotate.read_annotations(spark, path).select("sentence", F.explode("tokens").alias("t")).select("sentence", "t.*")
 
 
+@_query("SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, sha256(unnest(ls)) AS answer, NULL::VARCHAR AS error FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")
+def inferred_once(spark, sf):
+    """The lines of all texts given to a stand-in model by way of a store of answers: the first run fails on some of them, and the second asks for those alone."""
+    lines = read_spread(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    store = infer.create_answers(spark, scratch(spark, "answers") + "/store", T.StringType(), 64)
+
+    def model(fails: bool):
+        def one(line: str) -> str:
+            if (len(line) % 7 == 0) == fails:
+                raise ValueError("fails" if fails else "asked again")
+            return hashlib.sha256(line.encode()).hexdigest()
+
+        return lambda: one
+
+    infer.infer_once(lines, F.col("line"), store, model(True), "v1")
+    return infer.infer_once(lines, F.col("line"), store, model(False), "v1").drop("line")
+
+
+@_query(
+    """WITH e AS (SELECT o_custkey::VARCHAR AS c, 'status' AS property, o_orderdate AS at, o_orderstatus AS value FROM orders UNION ALL SELECT o_custkey::VARCHAR, 'priority', o_orderdate, o_orderpriority FROM orders)
+SELECT c, property, max(at) AS at, max_by(value, (at, value)) AS value FROM e GROUP BY c, property"""
+)
+def property_stream(spark, sf):
+    """Orders as a stream of their customers' properties, merged by event time as keyed state into a store; what is late or repeated never gets there."""
+    orders = _t(spark, sf, "orders")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{sf}/orders.parquet")
+    told = stream.select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("at"), F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("properties"))
+    place = scratch(spark, "properties")
+    store = properties.create_property_store(spark, f"{place}/store", ["c"], 16)
+    properties.ingest_properties(told, store, f"{place}/checkpoint", ["c"]).awaitTermination()
+    return properties.latest(store.rows(), ["c"])
+
+
 @_query()
 def tokenize_vi(spark, sf):
     return read_spread(spark, sf, "documents").select("doc_id", tokenizer.tokens(F.col("text")).alias("tokens"))

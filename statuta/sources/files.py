@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import not_blank, with_suffix
@@ -90,11 +90,18 @@ def converted(files: DataFrame, convert: Callable[[bytes], bytes], suffix: str =
     return made.select(with_suffix(F.col("path"), suffix).alias("path"), "content", "error")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, start, place, value: lines of text files, in the order of start (of the split that read them) and place in each file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, value of text files, numbered in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
-    body = F.regexp_replace("v", r"\n\z", "")
-    return whole.select("path", F.posexplode(F.split(body, "\n")).alias("line_no", "value"))
+    """path, line_no, value of text files, numbered in each file; several tasks read a large file, and prefix sums over its splits give the numbers."""
+    lines = placed_lines(spark, path)
+    file, own = Window.partitionBy("path").orderBy("start"), Window.partitionBy("path", "start").orderBy("place")
+    splits = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))  # a row for each split of a file
+    splits = splits.select("path", "start", (F.sum("n").over(file) - F.col("n")).alias("base"))
+    return lines.join(splits, ["path", "start"]).select("path", (F.col("base") + F.row_number().over(own) - 1).cast("int").alias("line_no"), "value")
 
 
 def annotator_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from statuta.operators import annotate, graph
-from statuta.plans.build_graph import Settings, build, extracted, triplets_of
+from statuta.operators import annotate, graph, infer
+from statuta.plans.build_graph import Settings, build, extracted, extracted_once, triplets_of
 from statuta.sources import files, sinks
 from statuta.sources.sqlite import read_sqlite, sqlite_tables
 from statuta.streaming import incremental
@@ -104,9 +104,11 @@ def test_annotations_of_a_tool_outside(spark, tmp_path):
     read = annotate.read_annotations(spark, str(tmp_path / "a")).first()
     assert read.sentence == "cơ quan cấp phép" and [t.head for t in read.tokens] == [2, 0, 2] and read.tokens[0].ner is None
     laws = spark.createDataFrame([("1", "n", "Cơ quan cấp phép"), ("2", "n", "khác")], "id string, so_hieu string, content string")
-    settings = Settings(annotator=annotate.from_annotations(spark, str(tmp_path / "a")))
-    assert [(r.c1, r.r, r.c2) for r in triplets_of(laws, settings).collect()] == [("cơ quan", "cấp", "phép")]
-    assert extracted(laws, settings).where("error IS NOT NULL").first().document_id == "2"
+    store = infer.create_answers(spark, str(tmp_path / "store"), annotate.TOKENS, 4)
+    told = annotate.read_annotations(spark, str(tmp_path / "a")).select("sentence", F.col("tokens").alias("answer"))
+    assert infer.add_answers(store, "files", told) == 1 and infer.add_answers(store, "files", told) == 0
+    got = extracted_once(laws, Settings(annotator=infer.no_model()), store, "files")
+    assert sorted((r.document_id, r.c1, r.r, r.c2, r.error) for r in got.collect()) == [("1", "cơ quan", "cấp", "phép", None), ("2", None, None, None, "LookupError: no answer to this sentence")]
 
 
 def test_tables(spark, tmp_path):
