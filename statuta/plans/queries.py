@@ -471,13 +471,13 @@ def inferred_once(spark, sf):
 
 
 @_query(
-    """WITH e AS (SELECT o_custkey::VARCHAR AS c, 'status' AS property, o_orderdate AS at, o_orderstatus AS value FROM orders UNION ALL SELECT o_custkey::VARCHAR, 'priority', o_orderdate, o_orderpriority FROM orders)
-SELECT c, property, max(at) AS at, max_by(value, (at, value)) AS value FROM e GROUP BY c, property"""
+    """WITH e AS (SELECT o_custkey::VARCHAR AS c, 'status' AS property, o_orderdate AS "at", o_orderstatus AS value FROM orders UNION ALL SELECT o_custkey::VARCHAR, 'priority', o_orderdate, o_orderpriority FROM orders)
+SELECT c, property, max("at") AS "at", first(value ORDER BY "at" DESC, value DESC) AS value FROM e GROUP BY c, property"""
 )
 def property_stream(spark, sf):
     """Orders as a stream of their customers' properties, merged by event time as keyed state into a store; what is late or repeated never gets there."""
     orders = _t(spark, sf, "orders")
-    stream = spark.readStream.schema(orders.schema).parquet(f"{sf}/orders.parquet")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{sf}/orders*.parquet")  # a pattern, since a stream takes no path of one file
     told = stream.select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("at"), F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority").alias("properties"))
     place = scratch(spark, "properties")
     store = properties.create_property_store(spark, f"{place}/store", ["c"], 16)
