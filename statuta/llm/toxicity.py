@@ -243,7 +243,7 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_co
     hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second half"), text).alias("h2")]
     judged = _scored(base.select(*hashes, text.alias("text")), chain, names).where(_rejected(names, threshold))
     gone = materialise(judged.select("h1", "h2").distinct(), "rejected")
-    left = base.select("row", *hashes).join(gone, ["h1", "h2"], "left_anti")
+    left = base.select("row", *hashes).join(gone.hint("merge"), ["h1", "h2"], "left_anti")  # a shuffle at every size, as in line dedup
     return left.select(*unpacked(left))
 
 

@@ -98,3 +98,14 @@ def test_the_loose_bound_discards_links_less_often_than_the_bands_miss_them():
     beyond = sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(simhash.LOOSE + 1, 65))
     missed = (1 - 0.8**shingle_sets.ROWS) ** shingle_sets.BANDS
     assert beyond < missed < 6e-9
+
+
+def test_stages_move_texts_by_one_plan_at_any_size(spark):
+    """A broadcast of what is small, and a shuffle beyond it, made the disk grow faster than the input."""
+    docs = spark.createDataFrame([(i, f"line {i % 3} " * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chain = corpus_pipeline.toxic.fit_labels(docs, labels)
+    for made in (corpus_pipeline.line_dedup.judged(docs), corpus_pipeline.toxic.without_toxic(docs, chain)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        assert made.count() == 40
