@@ -1,9 +1,12 @@
+from collections import Counter
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
+from statuta.operators import ngrams
 from statuta.operators.synonyms import canonical, parse_synonyms
 
 
@@ -72,3 +75,16 @@ def test_normalising_twice_changes_nothing(spark, words):
     once = tx.normalize_term(F.col("w"))
     for r in df.select(once.alias("a"), tx.normalize_term(once).alias("b")).collect():
         assert r.b == (r.a or None)
+
+
+def test_grams_are_counted_by_as_many_tasks_as_they_take(spark, monkeypatch):
+    """One split with many texts: no task counts all of their grams."""
+    monkeypatch.setattr(ngrams, "TASK_GRAMS", 100)
+    said = [(i % 40, f"abc{i}cba") for i in range(200)] + [(41, None), (41, " "), (42, "ab")]
+    rows = spark.createDataFrame(said, "k long, t string").coalesce(1)
+    want = Counter((k, t.strip()[i : i + 3]) for k, t in said if t for i in range(len(t.strip()) - 2))
+    made = ngrams.char_ngrams(rows, "t", 3, ["k"])
+    assert {(r.k, r.gram): r.n for r in made.collect()} == want
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    words = ngrams.token_ngrams(spark.createDataFrame([(1, list("abab"), "x")] * 60, "k long, ws array<string>, other string").coalesce(1), "ws", 2, ["k"])
+    assert {(r.gram, r.n, r.first_pos) for r in words.collect()} == {("a b ", 120, 0), ("b a ", 60, 1)}
