@@ -71,22 +71,29 @@ class _Merge(StatefulProcessor):
 
 
 def changes(told: DataFrame, keys: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """A stream of rows as of told_properties(), without those that are late or repeated: only what changes a property comes out.
-
-    Each Arrow batch is reduced to one row by keys and property before the
-    shuffle, so a hot key moves little, and different properties of a key have
-    states of their own. With ttl_ms a state that long unchanged is forgotten;
-    late rows may come out then, which latest() over the output sets right.
+    """A stream of the last events of properties, of rows as of told_properties(): late and repeated ones never come out.
+
+    Rows are reduced by keys and property before the shuffle, so a hot key moves
+    little, and different properties of a key have states of their own. The
+    state is a streaming aggregate in the JVM; of a property that a batch names
+    the last event comes out, also if it is the one that was known before, so a
+    batch's rows are those of a store or repeat them.
+    With ttl_ms only what changes a property comes out, and a state that long
+    unchanged is forgotten; this needs a Python call for each key of a batch.
+    Late rows may come out then, which latest() over the output sets right.
     """
     by = [*keys, "property"]
     kind = ", ".join([*[f"`{c}` string" for c in by], "at long", "value string"])
     coded = told.select(*by, F.coalesce(F.unix_micros("at"), F.lit(_NEVER)).alias("at"), "value")
+    if ttl_ms is None:
+        best = coded.groupBy(*by).agg(F.max(F.struct("at", "value")).alias("x")).select(*by, "x.at", "x.value")
+        return best.select(*by, F.when(F.col("at") != _NEVER, F.timestamp_micros("at")).alias("at"), "value")
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield _newest(batch, by)
 
-    made = coded.mapInPandas(reduced, kind).groupBy(*by).transformWithStateInPandas(_Merge(keys, ttl_ms), kind, "Update", "processingTime" if ttl_ms else "none")
+    made = coded.mapInPandas(reduced, kind).groupBy(*by).transformWithStateInPandas(_Merge(keys, ttl_ms), kind, "Update", "processingTime")
     return made.select(*by, F.when(F.col("at") != _NEVER, F.timestamp_micros("at")).alias("at"), "value")
 
 
@@ -101,8 +108,11 @@ def ingest_properties(events: DataFrame, store: SupportStore, checkpoint: str, k
 
     It ends when the input is used up. With ttl_ms it runs until it is stopped,
     as states are forgotten by the clock and there is always a batch to come.
-    The store takes each batch once, also if it is run again. State lies in
-    RocksDB, beside the checkpoint; the session's state store is set to it.
+    The store takes each batch once, also if it is run again, and of its rows
+    those that it does not have. State lies in RocksDB, beside the checkpoint;
+    the session's state store is set to it. A checkpoint belongs to one kind of
+    state: it cannot go on with ttl_ms if it began without, or the other way
+    round, nor if it is of a version that kept both as one kind.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     stream = changes(told_properties(events, keys, properties, at), keys, ttl_ms)

@@ -87,3 +87,12 @@ def test_only_changes_reach_the_store(spark, tmp_path):
         pr.ingest_properties(source(spark, str(tmp_path / "in")), store, str(tmp_path / "mark"), KEYS).awaitTermination()
         assert [r.value for r in store.rows().collect()] == ["new"], k
     assert store.rows().where(F.col("at") == datetime(2024, 1, 2)).count() == 1
+
+
+def test_state_without_a_time_to_live_stays_in_the_jvm(spark, tmp_path):
+    """A Python call for each key of a batch took longer than all else."""
+    put(spark, events(5, 4), str(tmp_path / "in"))
+    told = pr.told_properties(source(spark, str(tmp_path / "in")), KEYS)
+    plan = lambda ttl: pr.changes(told, KEYS, ttl)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan(1000)
+    assert "TransformWithState" not in plan(None) and "MapInPandas" not in plan(None)
