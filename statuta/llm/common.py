@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import os
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -12,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.sources.memory import KEEP, give_back, resident, small_batches
 from statuta.sources.shared import free, materialise, shared_dir
 
 __all__ = ["claim", "free", "lower_ascii", "mapped", "materialise", "mix", "packed", "parts", "quoted", "read_table", "shared_dir", "text_or_empty", "tidy", "unpacked", "with_text"]
@@ -61,27 +60,6 @@ def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(lo, rows) for lo in range(0, batch.num_rows, rows))
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system, where its allocators allow."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
-
-
-#: Resident bytes of a Python worker from which freed memory goes back within a task too.
-KEEP = 256 << 20
-
-
-def resident() -> int:
-    """Bytes of this process in memory; 0 where the system does not say."""
-    try:
-        with open("/proc/self/statm") as f:
-            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
-    except OSError:
-        return 0
-
-
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a function over the batches of a task, which gives back freed memory at the end, and between batches once the worker holds KEEP bytes and an eighth more than the last time.
 
@@ -109,10 +87,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return task
 
 
-#: Texts that a Python worker gets at a time.
-BATCH = 1024
-
-
 def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """rows.mapInArrow(run) with tidy(), for rows with texts: a batch holds BATCH rows at most.
 
@@ -120,9 +94,7 @@ def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     bound what a task holds. Spark knows the number as a setting of the session
     only, which is lowered here and never raised.
     """
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", rows.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH:
-        conf.set(name, BATCH)
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(tidy(run), schema)
 
 

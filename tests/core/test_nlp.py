@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from statuta.operators import annotate, ngrams, triplets
+from statuta.operators import annotate, ngrams, segmenter, tokenizer, triplets
 from statuta.operators.segmenter import Lexicon, parse_rules, segment, segment_text
 from statuta.operators.tokenizer import join_tokens, sentences, split_sentences, tokenize, tokens
 
@@ -152,3 +152,27 @@ def test_injected_models(spark):
 
 def test_joining():
     assert join_tokens(["a", "", " ", "b"]) == "a b"
+
+
+def test_workers_get_texts_in_small_batches_and_keep_short_runs_only(spark):
+    """What a worker holds is bounded by rows of a batch, and by number and length of the runs that it keeps."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        tokenizer.sentences(F.col("text"))
+        assert int(spark.conf.get(name)) == 1024
+    finally:
+        spark.conf.set(name, before)
+    held = tokenizer._tokens_of.cache_info().currsize
+    long = "x1-" * 5000
+    assert tokenizer.tokenize(long) == list(tokenizer._cut(long)) and tokenizer._tokens_of.cache_info().currsize == held
+    assert all(not m.isdisjoint(w) for kind, m in tokenizer._MARKS.items() for w in tokenizer._KEPT[kind])
+
+
+def test_phrases_and_rules_that_begin_nowhere_change_nothing():
+    """First syllables and first conditions only spare work: any phrase of the lists is still joined, any rule still tried."""
+    lexicon = segmenter.Lexicon(words=frozenset(["of the", "a b c d", "b c"]))
+    assert segmenter.segment("x of the a B c d b c of", lexicon, []) == "x of_the a B c d b_c of"
+    rules = segmenter.parse_rules(["True", '\tobject.nextWord2 == "<W>" : object.conclusion = "I"', '\t\tobject.word == "q" : object.conclusion = "B"'])
+    assert segmenter.segment("x y q", lexicon, rules) == "x_y q"
