@@ -1,8 +1,9 @@
-"""Models asked once for each different sentence: answers lie in a store by a 128-bit hash of sentence and model version."""
+"""Models asked once for each different sentence: answers lie in a store by the SHA-256 of model version and sentence."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,16 +29,27 @@ def create_answers(spark: SparkSession, folder: str, returns: T.DataType, bucket
 
 
 def key_of(sentence: Column, model: str) -> Column:
-    return F.md5(F.concat(F.lit(model + "\n"), sentence).cast("binary"))
+    """The SHA-256 of model version and sentence, 44 characters. Rows meet by it alone, so it must have no collisions, as MD5 has, with which earlier stores were keyed."""
+    return F.base64(F.unhex(F.sha2(F.concat(F.lit(model + "\n"), sentence).cast("binary"), 256)))
 
 
-def _known(store: SupportStore, asked: DataFrame) -> DataFrame:
-    """key, sentence, answer of the asked sentences that have an answer, each once."""
-    return store.of(asked.select("key")).where("error IS NULL").groupBy("key", "sentence").agg(F.min("answer").alias("answer"))
+def _known(store: SupportStore, keys: DataFrame) -> DataFrame:
+    """key, answer of those keys (each once) that have an answer, each once."""
+    return store.near(keys).where("error IS NULL").join(keys, "key", "left_semi").groupBy("key").agg(F.min("answer").alias("answer"))
 
 
-def _lacking(asked: DataFrame, known: DataFrame) -> DataFrame:
-    return asked.join(known.select("key", "sentence"), ["key", "sentence"], "left_anti")
+def _lacking(store: SupportStore, keys: DataFrame) -> DataFrame:
+    """Those keys that have no answer. No sentence and no answer moves."""
+    return keys.join(store.near(keys).where("error IS NULL").select("key"), "key", "left_anti")
+
+
+def _unanswered(store: SupportStore, keys: DataFrame, different: int) -> tuple[DataFrame, int, int]:
+    """key, failed (true, or null) of those of so many keys that have no answer, how many there are, and how many failed before: the store holds their sentences."""
+    if not store.state().pieces:
+        return keys.withColumn("failed", F.lit(None).cast("boolean")), different, 0
+    told = store.near(keys).where("error IS NOT NULL").select("key").distinct().withColumn("failed", F.lit(True))
+    new = materialise(_lacking(store, keys).join(told, "key", "left"), "unanswered")
+    return new, *new.agg(F.count(F.lit(1)), F.count("failed")).first()
 
 
 def add_answers(store: SupportStore, model: str, told: DataFrame) -> int:
@@ -48,7 +60,8 @@ def add_answers(store: SupportStore, model: str, told: DataFrame) -> int:
     """
     own = told.where("sentence IS NOT NULL").groupBy("sentence").agg(F.min("answer").alias("answer"))
     own = materialise(own.select(key_of(F.col("sentence"), model).alias("key"), "sentence", "answer"), "told")
-    n = store.merge(_lacking(own, _known(store, own)).withColumn("error", F.lit(None).cast("string")))
+    lacking = _lacking(store, own.select("key"))
+    n = store.merge(own.join(lacking, "key", "left_semi").withColumn("error", F.lit(None).cast("string")))
     free(own)
     return n
 
@@ -80,40 +93,53 @@ def infer_once(rows: DataFrame, sentence: Column, store: SupportStore, factory:
     and no error; an empty one is a sentence. Columns of rows may have any name
     but those of the two new ones. What is returned reads a table that is
     deleted with the session.
+
+    New sentences move to be met by their copies, and once more to the tasks that
+    ask the model and write its answers into the store; those that failed before
+    are taken from there; all else meets by keys alone. rows are read once to
+    count, once for each round with new sentences, and once for what is returned.
     """
-    spark = rows.sparkSession
     clash = {answer.lower(), error.lower()} & {c.lower() for c in rows.columns}
     if clash:
         raise ValueError(f"rows have columns {sorted(clash)} already")
-    returns = store.state().kind()["answer"].dataType
-    packed = rows.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]).alias("row"), sentence.cast("string").alias("sentence"))
-    packed = packed.withColumn("key", key_of(F.col("sentence"), model))
-    whole = packed.where("sentence IS NOT NULL")
-    asked = materialise(whole.groupBy("key", "sentence").agg(F.count(F.lit(1)).alias("n")), "asked")
-    total = asked.agg(F.sum("n")).first()[0] or 0
-
-    new = materialise(_lacking(asked, _known(store, asked)), "unanswered")
-    left, failed = new.count(), []
+    returns, parallel = store.state().kind()["answer"].dataType, rows.sparkSession.sparkContext.defaultParallelism
+    # Numbers stand for the names of columns until the end. Columns of their own, and not of a struct, are left out by Spark if nobody reads them.
+    told = rows.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(rows.columns)], sentence.cast("string").alias("sentence"))
+    told = told.withColumn("key", key_of(F.col("sentence"), model))
+    asked = materialise(told.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "asked")
+    keys = asked.select("key")
+    total, different = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+
+    new, left, again = _unanswered(store, keys, different)
+    failed = []
     rounds = max(1, -(-left // most))
     for k in range(rounds if left else 0):
-        own = new.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == k)
+        part = F.pmod(F.xxhash64("key"), F.lit(rounds)) == k
+        own, texts = new.where(part), []
+        if again < left:
+            text = told.where("key IS NOT NULL").where(part).groupBy("key").agg(F.min("sentence").alias("sentence"))  # equal ones, of which as few as can be leave a task
+            texts.append(text if left - again == different else text.join(own.where("failed IS NULL").select("key"), "key", "left_semi"))
+        if again:
+            text = store.near(own).where("error IS NOT NULL").join(own.select("key"), "key", "left_semi")
+            texts.append(text.groupBy("key").agg(F.min("sentence").alias("sentence")))
         # The number of tasks is given, since the model's time and not the bytes decides it.
-        tasks = min(left, max(spark.sparkContext.defaultParallelism, left // rounds // 10_000))
-        made = materialise(_asked_model(own.repartition(tasks, "key"), factory, returns), "answers")
-        store.merge(made)
-        failed.append(made.where("error IS NOT NULL"))
-    answers = _known(store, asked).withColumn("error", F.lit(None).cast("string"))
-    for part in failed:
-        answers = answers.unionByName(part)
+        tasks = min(left, max(parallel, left // rounds // 10_000))
+        failed.append(store.fill(own.select("key"), reduce(DataFrame.unionByName, texts), lambda t: _asked_model(t, factory, returns), "error IS NULL", tasks))
+    answers = _known(store, keys).withColumn("error", F.lit(None).cast("string"))
+    for made in failed:
+        # The store holds equal rows once, and failures are all that can be there already.
+        seen = store.near(made).where("error IS NOT NULL").select("key", "error")
+        store.add(made.join(seen, ["key", "error"], "left_anti"))
+        answers = answers.unionByName(made.select("key", "answer", "error"))
 
     bound = max(hot, -(-total // MOST_HOT))
-    sliced = asked.groupBy("key").agg(F.ceil(F.sum("n") / bound).alias("slices"))
-    dealt = answers.join(sliced, "key").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
-    many = F.broadcast(sliced.where("slices > 1"))  # fewer than MOST_HOT rows, as each stands for more than total / MOST_HOT
-    salted = whole.join(many, "key", "left").withColumn("slice", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("slices")), F.lit(0).cast("long")))
-    met = salted.join(dealt, ["key", "sentence", "slice"], "left").select("row", "answer", "error")
-    none = packed.where("sentence IS NULL").select("row", F.lit(None).cast(returns).alias("answer"), F.lit(None).cast("string").alias("error"))
-    return met.unionByName(none).select("row.*", F.col("answer").alias(answer), F.col("error").alias(error))
+    many = F.broadcast(asked.where(F.col("n") > bound).select("key", F.ceil(F.col("n") / bound).alias("slices")))  # fewer than MOST_HOT rows, as each stands for more than total / MOST_HOT
+    slices = F.coalesce("slices", F.lit(1).cast("long"))
+    dealt = answers.join(many, "key", "left").select("key", "answer", "error", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+    at = F.monotonically_increasing_id()
+    met = told.drop("sentence").join(many, "key", "left").withColumn("slice", F.when(F.col("key").isNull(), at).otherwise(F.pmod(at, slices)))  # rows without a sentence meet nothing, each in a slice of its own
+    met = met.join(dealt, ["key", "slice"], "left")
+    return met.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rows.columns)], F.col("answer").alias(answer), F.col("error").alias(error))
 
 
 def no_model() -> Factory:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from statuta.sources.shared import delete, free, materialise
 
@@ -103,12 +104,20 @@ class SupportStore:
         state = self.state()
         return self._read(state, state.pieces)
 
+    def near(self, names: DataFrame) -> DataFrame:
+        """The rows of the buckets that names (the key columns) fall into, those of other keys too. No row moves, and only the columns that are used are read."""
+        state = self.state()
+        touched = set()
+        if state.pieces:
+            buckets = names.select(self._bucket(state, [F.col(_quoted(k)) for k in state.keys]))
+            touched = {r[0] for r in buckets.distinct().collect()}  # at most as many as there are buckets
+        return self._read(state, [p for p in state.pieces if p.bucket in touched])
+
     def of(self, names: DataFrame) -> DataFrame:
         """The rows whose keys are among names (the key columns); only the buckets of these names are read."""
         state = self.state()
         asked = names.select(*[F.col(_quoted(k)) for k in state.keys]).distinct()
-        touched = {r[0] for r in asked.select(self._bucket(state, [F.col(_quoted(k)) for k in state.keys])).distinct().collect()}  # at most as many as there are buckets
-        rows = self._read(state, [p for p in state.pieces if p.bucket in touched]).alias("x")
+        rows = self.near(asked).alias("x")
         same = [F.col(f"x.{_quoted(k)}").eqNullSafe(F.col(f"y.{_quoted(k)}")) for k in state.keys]
         return rows.join(asked.alias("y"), same, "left_semi")
 
@@ -147,9 +156,52 @@ class SupportStore:
         dealt = rows.join(slices, "bucket").withColumn("slice", F.pmod(F.xxhash64("row"), "slices"))
         dealt = dealt.repartition("bucket", "slice").sortWithinPartitions("bucket", "row")
         fields = [F.col("row").getField(f.name).alias(f.name) for f in rows.schema["row"].dataType.fields]
-        dealt.select(*fields, F.col("bucket").alias(place)).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(place).parquet(f"{self.folder}/pieces/{generation}")
+        dealt.select(*fields, F.col("bucket").alias(place)).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy(place).parquet(f"{self.folder}/pieces/{generation}")
         return [Piece(b, generation, n) for b, n in sizes]
 
+    def add(self, rows: DataFrame) -> int:
+        """Add rows that are distinct and not there yet, for which the caller vouches, so that none is compared; how many there were. They are read twice."""
+        state = self.state()
+        row = F.struct(*[F.col(_quoted(c)) for c in state.kind().names])
+        told = rows.select(row.alias("row")).select("row", self._bucket(state, [F.col("row").getField(k) for k in state.keys]).alias("bucket"))
+        pieces = self._write(state, told)
+        self._commit(state, state.last, [*state.pieces, *pieces])
+        return sum(p.n for p in pieces)
+
+    def fill(self, names: DataFrame, rows: DataFrame, make: Callable[[DataFrame], DataFrame], keep: str, tasks: int) -> DataFrame:
+        """Add what make() makes of rows, written by the tasks that make it; returned are the rows made of which `keep` (SQL) is not true, which are not added, as a table to be freed.
+
+        rows move once, to the buckets of their keys in about as many tasks, each
+        with about as many rows. names are the key columns of rows, and tell how
+        they are dealt. make() works row by row and leaves the key columns as they
+        are; the caller vouches that what it adds is distinct and not there yet.
+        """
+        state = self.state()
+        generation, place = f"{state.version + 1:010d}", state.place()
+        path = f"{self.folder}/pieces/{generation}"
+        sizes = sorted(tuple(r) for r in names.groupBy(self._bucket(state, [F.col(_quoted(k)) for k in state.keys]).alias("bucket")).count().collect())  # at most as many as there are buckets
+        total = sum(n for _, n in sizes)
+        dealt, before = [], 0
+        for b, n in sizes:
+            dealt.append((b, n, -(-n * tasks // total), before))
+            before += n
+        plan = F.broadcast(self.spark.createDataFrame(dealt, "bucket int, n long, slices long, before long"))
+        keys = [F.col("row").getField(k) for k in state.keys]
+        told = rows.select(F.struct(*[F.col(_quoted(c)) for c in rows.columns]).alias("row")).withColumn("bucket", self._bucket(state, keys)).join(plan, "bucket")
+        slice_ = F.pmod(F.xxhash64(F.lit("slice"), *keys), "slices")  # by another hash than the bucket's
+        task = F.floor((F.col("before") + slice_ * F.col("n") / F.col("slices")) * tasks / max(1, total)).cast("int")
+        made = make(told.select("row", task.alias("task")).repartitionById(tasks, F.col("task")).select("row.*"))
+        own = F.when(F.expr(keep), self._bucket(state, [F.col(_quoted(k)) for k in state.keys])).otherwise(F.lit(-1))
+        fields = [F.col(_quoted(f.name)).cast(f.dataType).alias(f.name) for f in state.kind().fields]
+        made.select(*fields, own.alias(place)).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).partitionBy(place).parquet(path)
+        written = self.spark.read.schema(StructType([*state.kind().fields, StructField(place, IntegerType())])).parquet(path)
+        found = dict(tuple(r) for r in written.groupBy(_quoted(place)).count().collect())
+        other = self.spark.read.schema(state.kind()).parquet(f"{path}/{place}=-1") if found.pop(-1, 0) else self.spark.createDataFrame([], state.kind())
+        other = materialise(other, "other")
+        delete(self.spark, f"{path}/{place}=-1")
+        self._commit(state, state.last, [*state.pieces, *[Piece(b, generation, n) for b, n in found.items()]])
+        return other
+
     def compact(self, most: int = 8) -> list[int]:
         """Make one piece of those of each bucket that has more than `most`; which buckets. No other bucket is read or written."""
         state = self.state()

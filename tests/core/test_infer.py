@@ -100,3 +100,53 @@ def test_a_file_of_many_splits_is_read_as_one_of_few(spark, tmp_path):
                 own = []
         assert [x[2] for x in sorted(few[0], key=lambda x: x[1]) if x[0].endswith(name)] == blocks
         assert [(n, v) for p, n, v in few[1] if p.endswith(name)] == list(enumerate(text.split("\n")[: -1 if text.endswith("\n") else None]))
+
+
+def moved(spark):
+    """Bytes shuffled, spilled and written by all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in stages)
+
+
+def test_sentences_move_a_few_times_only(spark, tmp_path):
+    """Each line crossed some twenty shuffles and tables, so that 6 GB became 200."""
+    rng = random.Random(7)
+    said = ["".join(chr(rng.randrange(33, 127)) for _ in range(4000)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(said)), "id long, sentence string").repartition(2)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    store = create_answers(spark, str(tmp_path / "store"), T.StringType(), 8)
+
+    def model(bad):
+        def one(sentence):
+            if ord(sentence[0]) % 7 in bad:
+                raise ValueError("bad")
+            return hashlib.md5(sentence.encode()).hexdigest()
+
+        return lambda: one
+
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+        before = moved(spark)
+        infer_once(rows, F.col("sentence"), store, model({0}), "v1")
+        made = infer_once(rows, F.col("sentence"), store, model({1, 2, 3, 4, 5, 6}), "v1").drop("sentence").collect()
+        times = (moved(spark) - before) / sum(map(len, said))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert sorted(map(tuple, made)) == [(i, hashlib.md5(s.encode()).hexdigest(), None) for i, s in enumerate(said)]
+    assert times < 5, times
+
+
+def test_a_failure_that_repeats_is_kept_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "s string")
+    store = create_answers(spark, str(tmp_path / "store"), T.StringType(), 4)
+    for bad in (("a", "b"), ("a", "b"), ("a",)):
+        made = infer_once(rows, F.col("s"), store, counted(str(tmp_path / "calls"), bad), "m").collect()
+        assert sorted(map(tuple, made), key=str) == sorted([(None, None, None), ("a", None, "ValueError: a"), *[("b", None, "ValueError: b") if "b" in bad else ("b", "B", None)] * 2], key=str)
+    kept = sorted(map(tuple, store.rows().select("sentence", "answer", "error").collect()), key=str)
+    assert kept == sorted([("a", None, "ValueError: a"), ("b", None, "ValueError: b"), ("b", "B", None)], key=str)
+    assert sorted(os.listdir(tmp_path / "store" / "pieces")) and not [f for f in (tmp_path / "store" / "pieces").glob("*/bucket=-1")]
