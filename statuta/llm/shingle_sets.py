@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import mix, parts, tidy
 
-#: Bands of least hashes, and hashes in a band. At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 48 = 5e-9, above it with less.
+#: The similarity from which on sets are linked, as a fraction.
+LEVEL = (4, 5)
+#: Bands of least hashes, and hashes in a band, at that level. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 48 = 5e-9, above it with less.
 BANDS, ROWS = 48, 5
+#: Bound of that probability at every level.
+MISSED = 6e-9
 _RANDOM = np.random.default_rng(42)
 ODDS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FLIPS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+def layout(level: tuple[int, int] = LEVEL) -> tuple[int, int]:
+    """Bands, and hashes in a band: as many hashes in a band as the BANDS * ROWS hashes allow while a pair at the level shares no band with a probability under MISSED."""
+    p = level[0] / level[1]
+    if not 0 < p <= 1:
+        raise ValueError(f"no similarity between 0 and 1: {level}")
+    fit = [r for r in range(1, BANDS * ROWS + 1) if (1 - p**r) ** (BANDS * ROWS // r) < MISSED]
+    if not fit:
+        raise ValueError(f"similarity {level} needs more than {BANDS * ROWS} bands")
+    return next(b for b in range(1, BANDS * ROWS + 1) if (1 - p ** fit[-1]) ** b < MISSED), fit[-1]
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """The distinct XXH64 of the word shingles, ascending; a shorter text is one shingle, no word: none."""
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
@@ -32,16 +47,17 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((h(line[s:e], 42) for s, e in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist(), strict=True)), np.uint64, n))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One key for each band of least hashes; none for an empty set."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    n = bands * rows
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
-        part = (shingles[None, at : at + 512] ^ FLIPS[:, None]) * ODDS[:, None]
+        part = (shingles[None, at : at + 512] ^ FLIPS[:n, None]) * ODDS[:n, None]
         least = np.minimum(least, part.min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
         keys = mix(keys, column, 0x9E3779B97F4A7C15)
     return keys.view(np.int64)
 
@@ -60,13 +76,14 @@ def bits(shingles: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, h1, h2 of rows (with text), node (names the shingle set), n (its size), fp (its SimHash fingerprint), keys (of its bands)."""
+def sketches(rows: DataFrame, width: int, level: tuple[int, int] = LEVEL) -> DataFrame:
+    """doc_id, h1, h2 of rows (with text), node (names the shingle set), n (its size), fp (its SimHash fingerprint), keys (of its bands at the level)."""
+    bands, deep = layout(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in parts(b)):
             sets = [shingle_set(t, width) for t in part.column(3).to_pylist()]
-            made = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            made = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.int64()), pa.array([band_keys(s, bands, deep) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], ["doc_id", "h1", "h2", "node", "n", "fp", "keys"])
 
     return rows.select("doc_id", "h1", "h2", "text").mapInArrow(tidy(run), "doc_id long, h1 long, h2 long, node long, n long, fp long, keys array<long>")
@@ -84,14 +101,16 @@ def sets_of(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("text").mapInArrow(tidy(run), "node long, n long, fp long, shingles array<long>").dropDuplicates(["node"])
 
 
-def sizes_allow(x: str, y: str) -> str:
-    """SQL: two sets of such sizes (n) can have a similarity of 4/5."""
-    return f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)"
+def sizes_allow(x: str, y: str, level: tuple[int, int] = LEVEL) -> str:
+    """SQL: two sets of such sizes (n) can have a similarity of the level."""
+    p, q = level
+    return f"{q} * least({x}.n, {y}.n) >= {p} * greatest({x}.n, {y}.n)"
 
 
-def similar(x: str, y: str) -> str:
-    """SQL: Jaccard similarity of at least 4/5, in whole numbers; the sizes alone rule many pairs out."""
-    return f"CASE WHEN {sizes_allow(x, y)} THEN 9 * size(array_intersect({x}.shingles, {y}.shingles)) >= 4 * ({x}.n + {y}.n) ELSE false END"
+def similar(x: str, y: str, level: tuple[int, int] = LEVEL) -> str:
+    """SQL: Jaccard similarity of at least the level, in whole numbers; the sizes alone rule many pairs out."""
+    p, q = level
+    return f"CASE WHEN {sizes_allow(x, y, level)} THEN {p + q} * size(array_intersect({x}.shingles, {y}.shingles)) >= {p} * ({x}.n + {y}.n) ELSE false END"
 
 
 #: Bounds of a block of a bucket's grid: shingles of its members together, and members, about.
@@ -135,15 +154,16 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return found
 
 
-def _compare(table: pa.Table, pivots: np.ndarray, loose: int) -> pa.Table:
+def _compare(table: pa.Table, pivots: np.ndarray, loose: int, level: tuple[int, int] = LEVEL) -> pa.Table:
     """a, b: which components (part) of a cell's members are linked, as few rows as connect them. Two blocks meet each other, one block itself."""
     part, own, n, fp = (table.column(c).to_numpy() for c in ("part", "own", "n", "fp"))
+    p, q = level
     x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     names, label = np.unique(part, return_inverse=True)
     bits_ = fp.view(np.uint64)
     far = np.bitwise_count(bits_[:, None] ^ pivots[None, :]).astype(np.int8)
     # Pivot distances discard a pair before its Hamming distance is taken, and both before its sets are counted.
-    open_ = (label[x][:, None] != label[y][None, :]) & (5 * np.minimum(n[x][:, None], n[y][None, :]) >= 4 * np.maximum(n[x][:, None], n[y][None, :]))
+    open_ = (label[x][:, None] != label[y][None, :]) & (q * np.minimum(n[x][:, None], n[y][None, :]) >= p * np.maximum(n[x][:, None], n[y][None, :]))
     for k in range(len(pivots)):
         open_ &= np.abs(far[x, k][:, None] - far[y, k][None, :]) <= loose
     open_ &= np.bitwise_count(bits_[x][:, None] ^ bits_[y][None, :]) <= loose
@@ -153,7 +173,7 @@ def _compare(table: pa.Table, pivots: np.ndarray, loose: int) -> pa.Table:
     x, y, open_ = x[rows], y[cols], open_[rows][:, cols]
     sets = table.column("shingles").combine_chunks()
     both = common([sets[int(k)].values.to_numpy() for k in x], [sets[int(k)].values.to_numpy() for k in y])
-    linked = open_ & (9 * both >= 4 * (n[x][:, None] + n[y][None, :]))
+    linked = open_ & ((p + q) * both >= p * (n[x][:, None] + n[y][None, :]))
     for k in np.flatnonzero(linked.any(axis=1)):
         met = np.unique(np.append(label[y[linked[k]]], label[x[k]]))
         label[np.isin(label, met)] = met[0]
@@ -162,7 +182,7 @@ def _compare(table: pa.Table, pivots: np.ndarray, loose: int) -> pa.Table:
     return pa.table({"a": pa.array(made[:, 0]), "b": pa.array(made[:, 1])})
 
 
-def crossed(open_: DataFrame, sets: DataFrame, pivots: list[int], loose: int) -> DataFrame:
+def crossed(open_: DataFrame, sets: DataFrame, pivots: list[int], loose: int, level: tuple[int, int] = LEVEL) -> DataFrame:
     """a, b: links between components, of the members (key, node, part) of buckets and their sets (node, n, fp, shingles).
 
     A bucket's members are dealt to blocks, and each pair of blocks is a cell, a
@@ -177,4 +197,4 @@ def crossed(open_: DataFrame, sets: DataFrame, pivots: list[int], loose: int) ->
     rows = rows.select("key", "node", "part", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "own").join(sets, "node")
     marks = np.array(pivots, np.uint64)
-    return cells.groupBy("key", "i", "j").applyInArrow(lambda table: _compare(table, marks, loose), "a long, b long")
+    return cells.groupBy("key", "i", "j").applyInArrow(lambda table: _compare(table, marks, loose, level), "a long, b long")

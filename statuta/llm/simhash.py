@@ -182,17 +182,20 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, spare: i
 LOOSE = 32
 
 
-def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
-    """node, component of each shingle set that has another one of Jaccard similarity 4/5 or more, of distinct (node, n, fp, keys, h1, h2) and the rows texts (h1, h2, text).
+def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5, level: tuple[int, int] = shingle_sets.LEVEL) -> DataFrame:
+    """node, component of each shingle set that has another one of Jaccard similarity 4/5 (the level) or more, of distinct (node, n, fp, keys, h1, h2) and the rows texts (h1, h2, text).
 
     At that similarity fingerprints differ in too many bits for block keys: to
     miss no pair within LOOSE bits there would be 33 keys of 2 bits at most. So
     candidates share one of 48 bands of 5 least hashes (a pair at 0.8 shares
-    none with probability 5e-9). Pairs of ids are discarded by size, by pivot
-    distances and by the Hamming distance of the fingerprints beyond LOOSE bits;
-    only survivors get their whole sets, on which they are verified. Buckets
-    that this leaves open are compared block by block (shingle_sets.crossed).
+    none with probability 5e-9; shingle_sets.layout for other levels). Pairs of
+    ids are discarded by size, by pivot distances and by the Hamming distance of
+    the fingerprints beyond LOOSE bits (below 0.8: by size alone, as links may
+    differ in more); only survivors get their whole sets, on which they are
+    verified. Buckets that this leaves open are compared block by block
+    (shingle_sets.crossed).
     """
+    loose = LOOSE if 5 * level[0] >= 4 * level[1] else 64
     keyed = materialise(distinct.select("node", F.explode("keys").alias("key")), "keys")
     again = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     wanted = distinct.join(keyed.join(again, "key").select("node").distinct(), "node", "left_semi").select("h1", "h2")
@@ -205,17 +208,17 @@ def link_similar(distinct: DataFrame, texts: DataFrame, width: int = 5) -> DataF
         return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
-        close = both(pairs, told, "told").where(f"{shingle_sets.sizes_allow('x', 'y')} AND {_near(LOOSE)}").select("a", "b")
+        close = both(pairs, told, "told").where(f"{shingle_sets.sizes_allow('x', 'y', level)} AND {_near(loose)}").select("a", "b")
         whole = sets.select("node", F.struct("n", "shingles").alias("whole"))
-        return both(materialise(close, "close"), whole, "whole").where(shingle_sets.similar("x", "y")).select("a", "b")
+        return both(materialise(close, "close"), whole, "whole").where(shingle_sets.similar("x", "y", level)).select("a", "b")
 
-    found = link(keyed, verified, lambda rows: shingle_sets.crossed(rows, sets, PIVOTS, LOOSE))
+    found = link(keyed, verified, lambda rows: shingle_sets.crossed(rows, sets, PIVOTS, loose, level))
     free(sets)
     return found
 
 
-def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, of each group linked by a shingle similarity of 0.8 or more.
+def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text", level: tuple[int, int] = shingle_sets.LEVEL) -> DataFrame:
+    """One row of docs, with all its columns, of each group linked by a shingle similarity of 4/5 (the level, a fraction from 1/12 to 1) or more.
 
     The smallest row by id (null last), then by hash of id and text, then by
     hash of the row stays. Shingles are runs of `width` words, parted by ASCII
@@ -229,11 +232,11 @@ def one_of_each(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     key = [doc_id.isNull(), doc_id, text.isNull(), text]
     hashes = [F.xxhash64(*key).alias("h1"), F.xxhash64(F.lit("second half"), *key).alias("h2")]
     rows = base.select(doc_id.cast("long").alias("doc_id"), *hashes, text.alias("text"))
-    marked = materialise(shingle_sets.sketches(rows, width), "sketches")
+    marked = materialise(shingle_sets.sketches(rows, width, level), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("least")
     distinct = marked.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     distinct = materialise(distinct.select("node", "n", "fp", "keys", "least", "least.h1", "least.h2"), "distinct")
-    parts = link_similar(distinct, rows.select("h1", "h2", "text"), width)
+    parts = link_similar(distinct, rows.select("h1", "h2", "text"), width, level)
     named = distinct.select("node", "least").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     stay = materialise(named.select("least.h1", "least.h2"), "stay")
     free(marked, distinct, parts)
