@@ -1,5 +1,10 @@
-from statuta.operators import graph
-from statuta.operators.synonyms import parse_synonyms
+import re
+
+import pytest
+
+from statuta.operators import annotate, graph
+from statuta.operators.synonyms import canonical, parse_synonyms
+from statuta.plans.build_graph import Settings, build, gathered, triplets_of
 from statuta.plans.queries import QUERIES, SYNONYMS
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +17,72 @@ def test_every_sentence_gives_its_edges(spark):
     want = edges(told)
     assert edges(told.where("sent_id = 0")) < want
     assert {(r.c1, r.r, r.c2) for r in QUERIES["knowledge_graph"](spark, SF).select("c1", "r", "c2").collect()} == want
+
+
+def moved(df):
+    """The keys by which the plan shuffles rows, without those of the synonym table."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    return [k for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if not k.startswith("term#")]
+
+
+def test_a_document_moves_once_and_no_triplet_moves(spark):
+    """Joins with the synonyms and the search for distinct rows moved each triplet four times."""
+    keys = moved(QUERIES["knowledge_graph"](spark, SF))
+    assert len([k for k in keys if k.startswith("document_id#")]) == 1 and not [k for k in keys if re.search(r"\b(c1|r|c2)#", k)]
+
+
+def test_words_meet_synonyms_where_they_are(spark):
+    words = spark.createDataFrame([("a",), ("b",), (None,)], "term string")
+    table = parse_synonyms(spark.createDataFrame(list(enumerate(SYNONYMS)), "line_no int, value string"))
+    assert moved(canonical(words, "term", table)) == []
+
+
+def test_a_large_synonym_table_is_not_sent(spark, monkeypatch):
+    rows = spark.createDataFrame([("to", "x", "the"), (None, "in", "of and")], "c1 string, r string, c2 string")
+    table = parse_synonyms(spark.createDataFrame(list(enumerate(SYNONYMS)), "line_no int, value string"))
+    made = lambda: canonical(rows, ["c1", "r", "c2"], table)
+    small = made()
+    monkeypatch.setattr("statuta.operators.synonyms.SENT", 0)
+    large = made()
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, small.collect()), key=str) == sorted([("B2", "x", "B2"), (None, "B2", "A1")], key=str)
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_gathered_triplets_give_the_same_graph(spark, monkeypatch, parts):
+    """Ids that repeat or are null, documents that fail, have none or move as many rows, words with any character."""
+    monkeypatch.setattr("statuta.plans.build_graph.PACKED", 2)
+
+    def picky():
+        inner = annotate.stub_annotator()
+        odd = {"q": 'q"\\\'', "w": "w\t\n\x00\x1f", "e": "\U0001f600 é", "n": "null", "s": "_"}
+
+        def one(sentence):
+            if "bad" in sentence:
+                raise ValueError
+            return [t | {"word": odd.get(t["word"], t["word"])} for t in inner(sentence)]
+
+        return one
+
+    texts = ["q w e q w e the to in", "e n q", "bad b c", "x", "q w e. q w e", "q w e", "s s s n e w", "", None]
+    ids = ["1", "1", "2", "3", "4", None, None, "5", "6"]
+    rows = [(i, n, t) for i, t in zip(ids, texts, strict=True) for n in ("m", None)]
+    laws = spark.createDataFrame(rows, "id string, so_hieu string, content string")
+    settings = Settings(annotator=picky, sentence_scope="all")
+    table = parse_synonyms(spark.createDataFrame([(0, "K#the,q w,in")], "line_no int, value string"))
+    plain = graph.build_triplets(triplets_of(laws, settings), table)
+    found = lambda df: sorted(map(tuple, df.collect()), key=str)
+    nodes, edges = build(laws, table, settings, parts)
+    assert found(edges) == found(graph.edge_support(plain)) and found(nodes) == found(graph.node_support(plain))
+    assert edges.columns == ["c1", "r", "c2", "document_id"] and edges.count() > 8
+
+
+def test_a_word_longer_than_a_json_reader_takes(spark):
+    def long():
+        inner = annotate.stub_annotator()
+        return lambda sentence: [t | {"word": "l" * 20_000_001} for t in inner(sentence)]
+
+    laws = spark.createDataFrame([("1", "n", "a b c")], "id string, so_hieu string, content string")
+    made = gathered(laws, Settings(annotator=long), 1)
+    assert made.selectExpr("length(c1)", "length(r)", "length(c2)").collect() == [(20_000_001,) * 3]
